@@ -180,7 +180,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELD = '"(?:[^"]|"")*"|[^",]*'
 _P4 = f"""
 WITH a AS (SELECT *, coalesce(regexp_full_match(raw_line, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*'), true) AS whole FROM order_items_raw),
-b AS (SELECT *, CASE WHEN whole THEN list_transform(regexp_extract_all(raw_line, '(?s)(?:^|,)({_FIELD})', 1), lambda z: CASE WHEN starts_with(z, '"') THEN replace(substr(z, 2, length(z) - 2), '""', '"') ELSE z END) END AS f FROM a),
+b AS (SELECT *, CASE WHEN whole THEN list_transform(regexp_extract_all(',' || raw_line, '(?s),({_FIELD})', 1), lambda z: CASE WHEN starts_with(z, '"') THEN replace(substr(z, 2, length(z) - 2), '""', '"') ELSE z END) END AS f FROM a),
 c AS (SELECT *, list_transform(f, lambda z: trim(z, ' ')) AS t FROM b),
 d AS (SELECT *, CASE WHEN NOT whole THEN 'quoting' WHEN coalesce(len(f), 0) <> 8 THEN 'column_count'
   WHEN NOT (regexp_full_match(t[1], '[0-9a-f]{{16}}') AND regexp_full_match(t[2], '[0-9]+') AND regexp_full_match(t[3], '[0-9a-f]{{16}}') AND regexp_full_match(t[4], '[0-9a-f]{{16}}')
