@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 #: Items along one side of a tile.
 TILE = 256
@@ -100,6 +100,7 @@ def pair_counts(sets: DataFrame) -> DataFrame:
 
     sets: one array of distinct non-null items per record, as from baskets(). An empty table gives no rows.
     """
+    ship(sets.sparkSession)
     return sets.select("items").mapInArrow(_gram, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 

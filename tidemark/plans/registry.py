@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, sales
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**quality.QUERIES}
+    return {**sales.QUERIES, **quality.QUERIES}
 
 
 def sql() -> dict[str, str]:
-    return {**quality.SQL}
+    return {**sales.SQL, **quality.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.p1_pairs(spark, sf_dir)
+    return sales.period_changes(spark, sf_dir)

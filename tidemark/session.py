@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +68,20 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def held(df: DataFrame) -> DataFrame:
     """df kept for the rest of a pipeline run, spilling to disk; recomputed from its lineage if lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent).as_posix())
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
