@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import ship
+
 #: Characters of test items that go to the documents at once; more are done in several passes.
 BLOCK_CHARS = 32_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -146,6 +148,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
     no rows. Further columns are not read. The items are read by the driver and sent out in blocks of ``block_chars`` at most
     (a longer single item makes a block of its own size); each block is one pass over the documents.
     """
+    ship(documents.sparkSession)
     held = items.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
     total = held.agg(F.sum(F.length("t").cast("bigint")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))

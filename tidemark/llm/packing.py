@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, hinted
+from ..session import cut, hinted, ship
 
 #: Folder of the public tokenizers' vocabularies, and the one used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -118,6 +118,7 @@ def token_counts(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS
             sizes = [size(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], [key, "n_tokens"])
 
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(text).cast("string")).mapInArrow(count, f"`{key}` {kind}, n_tokens bigint")
 
@@ -132,6 +133,7 @@ def pack(sizes: DataFrame, key: str, capacity: int, size: str = "n_tokens") -> D
     """
     if capacity < 1:
         raise ValueError("a container must hold at least 1")
+    ship(sizes.sparkSession)
     whole = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
     last = F.greatest(F.ceil(whole / capacity) - 1, F.lit(0)).cast("int")
     items = sizes.select(F.col(key), whole.alias("_size"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))

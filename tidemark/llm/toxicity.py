@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hinted
+from ..session import hinted, ship
 from . import seeds
 
 #: Labelled documents that the machine is fitted on at most; of more, those of the smallest hash of doc_id.
@@ -330,6 +330,7 @@ def score(documents: DataFrame, machine: Machine, doc: str = "doc_id", text: str
     Every row is scored over its whole text, without a shuffle. Null texts and texts without a word of three letters have a null score and are
     not flagged; repeated rows are scored each. Further columns are not read.
     """
+    ship(documents.sparkSession)
     known = documents.sparkSession.sparkContext.broadcast(machine)  # one float per hashed subsequence: 256 KB
 
     def run(batches: Iterator) -> Iterator:
