@@ -36,6 +36,8 @@ GOOD_SENTENCES, LANDMARKS, FEATURES = 60_000, 300, 1 << 16
 FOLDS, TURNS, BAD_SENTENCES, HARD = 3, 4, 3000, 1500
 #: A bad document's worst sentence is accepted from ACCEPT on, further ones from SURE; good ones from DOUBT on are taken for wrong ratings.
 ACCEPT, SURE, DOUBT = -0.4, 0.3, 0.8
+#: The share of good sentences that a sentence's log odds must exceed to be picked at any rate, and the occurrences that stand against chance.
+EVIDENCE, PRIOR = 0.998, 20.0
 #: A sentence is usual if its share among good documents is this part of that among bad ones or more.
 USUAL = 0.25
 #: Bounds of the threshold, and by how many bad documents' worth F1 must differ to matter: labels are not all right.
@@ -226,18 +228,25 @@ def _some(units: Sequence[str], n: int, rng: np.random.Generator) -> list[str]:
     return [units[i] for i in np.sort(rng.choice(len(units), n, replace=False))]
 
 
-def _start(bad: Sequence[str], good: Sequence[str]) -> Machine:
-    """Log odds of each subsequence among the sentences of bad and good documents: only to begin the turns."""
+def _odds(bad: Sequence[str], good: Sequence[str]) -> np.ndarray:
+    """Log odds of each subsequence among the sentences of bad against those of good documents; 0 without evidence."""
 
     def counts(units: Sequence[str]) -> np.ndarray:
         total = np.zeros(FEATURES)
         for c in chunks(units, 2000):
             for ok, feature, weight in Subsequences(c).kinds():
                 total += weight * np.bincount(feature[ok], minlength=FEATURES)
-        return total + 2
+        return total
 
     a, b = counts(bad), counts(good)
-    return Machine((np.log(a / a.sum()) - np.log(b / b.sum())).astype("float32"), 0.0)
+    share = a.sum() / max(1.0, a.sum() + b.sum())
+    return (np.log((a + PRIOR * share + 1e-9) / (b + PRIOR * (1 - share) + 1e-9)) - np.log((share + 1e-9) / (1 - share + 1e-9))).astype("float32")
+
+
+def _mean(units: Sequence[str], weights: np.ndarray) -> np.ndarray:
+    """The mean weight of each sentence's subsequences."""
+    found = Subsequences(units)
+    return found.score(weights) / np.maximum(found.score(np.ones(FEATURES, dtype="float32")), 1e-9)
 
 
 def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
@@ -258,15 +267,25 @@ def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
     bad_docs = [(k, [u for u in docs[k][1] if u not in usual]) for k in range(len(docs)) if docs[k][0]]
     pool = {f: _some(sorted({u for k, (bad, units) in enumerate(docs) if not bad and fold[k] == f for u in units}), GOOD_SENTENCES // FOLDS, rng) for f in range(FOLDS)}
     seeds_bad, seeds_good = [even(x) for x in seeds.BAD], [even(x) for x in seeds.GOOD]
-    start = _start([*seeds_bad * 3, *(u for _, units in bad_docs for u in units)], [*seeds_good * 3, *(u for f in pool for u in pool[f])])
+    plain = [u for f in pool for u in _some(pool[f], HARD // FOLDS, rng)]
+    start = _train(seeds_bad, sorted({*seeds_good, *plain}), in_good, rng)
     machines = dict.fromkeys(range(FOLDS), start)
     hard: dict[int, set[str]] = {f: set() for f in range(FOLDS)}
     picked: dict[int, list[str]] = {f: [] for f in range(FOLDS)}
 
+    # sentences that other folds' bad documents say far more often than good ones do, more than hardly any good sentence: always picked
+    telling: dict[int, set[str]] = {}
+    for f in range(FOLDS):
+        odds = _odds([u for k, units in bad_docs if fold[k] != f for u in units], [u for g in pool if g != f for u in pool[g]])
+        own = sorted({u for k, units in bad_docs if fold[k] == f for u in units})
+        least = np.quantile(_mean(pool[f], odds), EVIDENCE) if pool[f] else np.inf
+        telling[f] = {u for u, x in zip(own, _mean(own, odds)) if x > least}
+
     def pick(turn: int) -> None:
         for f in range(FOLDS):
             own = [(k, units) for k, units in bad_docs if fold[k] == f and units]
             scores = machines[f].scores([u for _, units in own for u in units])
+            scores = np.maximum(scores, [0.0 if u in telling[f] else -np.inf for _, units in own for u in units])
             tops, at = [], 0
             for _, units in own:
                 s = scores[at : at + len(units)]
@@ -275,8 +294,7 @@ def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
                 tops.append((float(s[order[0]]), units[order[0]]))
                 if turn:
                     tops += [(float(s[i]), units[i]) for i in order[1:] if s[i] > SURE]
-            least = float(np.quantile([x for x, _ in tops], 0.35)) if tops and not turn else ACCEPT
-            picked[f] = _some(sorted({u for x, u in tops if x >= least}), BAD_SENTENCES // FOLDS, rng)
+            picked[f] = _some(sorted({u for x, u in tops if x >= ACCEPT}), BAD_SENTENCES // FOLDS, rng)
             if turn:
                 s = machines[f].scores(pool[f])
                 doubtful = [pool[f][i] for i in np.argsort(-s)[: HARD // FOLDS] if s[i] < DOUBT]
