@@ -76,6 +76,11 @@ def _taken_apart(raw: Column) -> tuple[Column, Column]:
     return whole, back
 
 
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once per row: a generator, which the optimizer does not copy into what reads the column."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_records(df: DataFrame, raw: str, fields: Sequence[Field] = ORDER_ITEM) -> DataFrame:
     """All columns of df and ``_reason`` (null: the record is sound), ``_fields`` (its values as text, if it could be split).
 
@@ -88,18 +93,18 @@ def parse_records(df: DataFrame, raw: str, fields: Sequence[Field] = ORDER_ITEM)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1", "maxColumns": "20480"}
     # only records in one line without quotes are left to the reader: with either, its leniency would decide
     plain = ~F.col(raw).rlike(r'["\r\n\x00]') & (F.col(raw) != "") & (F.length(F.regexp_replace(raw, "[^,]", "")) < 20000)
-    read = df.withColumn("_read", F.when(plain, F.from_csv(F.col(raw), schema, options)))
+    read = _settled(df, "_read", F.when(plain, F.from_csv(F.col(raw), schema, options)))
     taken = F.col("_read").isNotNull() & F.col("_read._corrupt").isNull()
     whole, split = _taken_apart(F.col(raw))
-    read = read.withColumn("_whole", F.when(taken | F.col(raw).isNull(), True).otherwise(whole))
     own = F.array(*(F.coalesce(F.col(f"_read.{f.name}"), F.lit("")) for f in fields))
-    read = read.withColumn("_fields", F.when(taken, own).when(F.col("_whole") & F.col(raw).isNotNull(), split))
+    read = _settled(read, "_whole", F.when(taken | F.col(raw).isNull(), True).otherwise(whole))
+    read = _settled(read, "_fields", F.when(taken, own).when(F.col("_whole") & F.col(raw).isNotNull(), split))
     fits = F.size("_fields") == len(fields)
     good = F.lit(True)
     for i, field in enumerate(fields):
         good = good & field.valid(F.trim(F.get("_fields", F.lit(i))))
     reason = F.when(~F.col("_whole"), "quoting").when(~F.coalesce(fits, F.lit(False)), "column_count").when(~F.coalesce(good, F.lit(False)), "invalid_value")
-    return read.withColumn("_reason", reason).drop("_read", "_whole")
+    return _settled(read.drop("_read"), "_reason", reason).drop("_whole")
 
 
 def typed_rows(parsed: DataFrame, keep: Sequence[str], fields: Sequence[Field] = ORDER_ITEM) -> DataFrame:
