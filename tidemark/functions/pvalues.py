@@ -48,6 +48,6 @@ def binomial_half(k: Column, n: Column) -> Column:
 def correlation(r: Column, n: Column) -> Column:
     """p of a correlation of n pairs; 0 for r = 1 or -1, null for fewer than 3 pairs."""
     n = n.cast("double")
-    t2 = r * r * (n - 2) / (1 - r * r)
-    p = regularized_beta((n - 2) / (n - 2 + t2), (n - 2) / 2, 0.5)
+    t2 = F.try_divide(r * r * (n - 2), 1 - r * r)
+    p = regularized_beta(F.try_divide(n - 2, n - 2 + t2), (n - 2) / 2, 0.5)
     return F.when(n > 2, F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(p))

@@ -52,7 +52,7 @@ def two_samples(df: DataFrame, keys: Sequence[str], side: Column, value: str, mi
     ranked = average_ranks(counted, keys, "_x", "_n")
     x, a, b = F.col("_x"), F.col("_0"), F.col("_1")
     sums = ranked.groupBy(*keys).agg(
-        F.sum(a).alias("n_a"), F.sum(b).alias("n_b"), (F.sum(a * x) / F.sum(a)).alias("mean_a"), (F.try_divide(F.sum(b * x), F.sum(b))).alias("mean_b"),
+        F.sum(a).alias("n_a"), F.sum(b).alias("n_b"), F.try_divide(F.sum(a * x), F.sum(a)).alias("mean_a"), F.try_divide(F.sum(b * x), F.sum(b)).alias("mean_b"),
         F.sum(a * F.col("rank")).alias("_ranks"), F.sum(F.col("_n") * (F.col("_n") * F.col("_n") - 1).cast("double")).alias("_ties"),
     )
     sums = sums.where((F.col("n_a") >= min_rows) & (F.col("n_b") >= min_rows))
@@ -112,9 +112,9 @@ def correlations(df: DataFrame, columns: Sequence[str], min_rows: int = 100) ->
     moments = []
     off = {c: F.col(c) - F.col(f"m_{c}") for c in ("x", "y", "rx", "ry")}
     for name, x, y in (("pearson", "x", "y"), ("spearman", "rx", "ry")):
-        moments.append((F.sum(n * off[x] * off[y]) / F.sqrt(F.sum(n * off[x] * off[x]) * F.sum(n * off[y] * off[y]))).alias(name))
+        moments.append(F.try_divide(F.sum(n * off[x] * off[y]), F.sqrt(F.sum(n * off[x] * off[x]) * F.sum(n * off[y] * off[y]))).alias(name))
     found = both.join(means, ["a", "b"]).groupBy("a", "b").agg(F.max("m").alias("n"), *moments).where(F.col("n") >= min_rows)
-    bounded = lambda c: F.when(~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
+    bounded = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     found = found.withColumns({"pearson": bounded("pearson"), "spearman": bounded("spearman")})
     found = found.withColumn("r", F.when(F.abs("spearman") > F.abs("pearson"), F.col("spearman")).otherwise(F.col("pearson")))
     return found.withColumn("p", pvalues.correlation(F.col("r"), F.col("n")))
