@@ -82,3 +82,12 @@ def test_report_per_month(spark):
     found = references.orphans(REF, *frames(spark, CASES["kinds"][0], CASES["kinds"][1]))
     assert sorted((r.period, r.kind, r.n_refs) for r in references.per_period(found).collect()) == [("2022-01", "deleted", 1), ("2022-01", "late", 1), ("2022-01", "missing", 1)]
     assert references.per_period(found).select(F.sum("n_refs")).first()[0] == 3
+
+
+def test_deletion_reopens(spark):
+    state = references.OrphanState().advance(REF, *frames(spark, [(1, "a", 2), (2, "b", 2), (3, "b", 3)], [("a", 1, None)]))
+    assert [r.n_open for r in state.open_at(at(3)).collect()] == [2]
+    state = state.advance(REF, *frames(spark, [(4, "a", 6)], [("b", 4, None)]))
+    assert state.open_at(at(6)).collect() == [] and {(r.ref_id, r.kind) for r in state.orphans.collect()} == {(2, "late"), (3, "late")}
+    state = state.advance(REF, *frames(spark, [(5, "a", 9)], [("a", 1, 8)]))
+    assert [r.n_open for r in state.open_at(at(9)).collect()] == [3] and (5, "deleted") in {(r.ref_id, r.kind) for r in state.orphans.collect()}

@@ -9,6 +9,7 @@ key was never seen; it waits), `deleted` (seen, but gone at that time) or, once
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,9 +65,20 @@ def presence(parent: DataFrame, ref: Reference) -> DataFrame:
     )
 
 
-def merged_presence(rows: DataFrame) -> DataFrame:
-    """One row per key of presence rows (key, open_from, first_from, life); lifetimes inside the open one are dropped."""
-    found = rows.groupBy("key").agg(F.min("open_from").alias("open_from"), F.min("first_from").alias("first_from"), F.collect_set("life").alias("closed"))
+def merged_presence(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per key of presence rows (key, open_from, first_from, life); lifetimes inside the open one are dropped.
+
+    ``earlier`` is the index so far. A lifetime that now comes with an end and begins when the open one of the index does closes it.
+    """
+    rows = rows.withColumn("_was", F.lit(None).cast("timestamp_ntz"))
+    if earlier is not None:
+        before = earlier.select("key", F.lit(None).cast("timestamp_ntz").alias("open_from"), "first_from", F.explode_outer("closed").alias("life"), F.col("open_from").alias("_was"))
+        rows = rows.withColumn("_new", F.col("life")).unionByName(before, allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("_new", F.col("life"))
+    found = rows.groupBy("key").agg(F.min("open_from").alias("_open"), F.min("_was").alias("_was"), F.min("first_from").alias("first_from"), F.collect_set("life").alias("closed"), F.collect_set("_new").alias("_new"))
+    still = F.when(~F.exists("_new", lambda x: x["from"] == F.col("_was")), F.col("_was"))
+    found = found.select("key", F.least("_open", still).alias("open_from"), "first_from", "closed")
     keep = F.filter("closed", lambda x: F.col("open_from").isNull() | (x["from"] < F.col("open_from")))
     return found.select("key", "open_from", "first_from", keep.alias("closed"))
 
@@ -91,28 +103,36 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 @dataclass
 class OrphanState:
-    """Keyed state of one reference after some deliveries: the presence index, the orphans so far and all lifetimes."""
+    """Keyed state of one reference after some deliveries: the presence index, the orphans so far and how many references each key has."""
 
     index: DataFrame | None = None
     orphans: DataFrame | None = None
+    counts: DataFrame | None = None
 
     def advance(self, ref: Reference, child: DataFrame, parent: DataFrame) -> OrphanState:
         """State after one more delivery of child and parent rows (either may be empty); the delivery may be the whole table.
 
-        Arriving parents are merged into the index, waiting orphans (missing) are probed again and become late or
-        deleted if their key is now known; references already settled are not touched. A parent row delivered again
-        with an end replaces nothing: give it with its end in place of the first, as a row of a new load.
-        Both parts are written to the checkpoint folder, so each delivery costs its own rows, the index and the waiting.
+        Deliveries come in the order of their load times. Arriving parents are merged into the index; a parent row that comes again with an
+        end closes its lifetime. Waiting orphans (missing) are probed again and become late once their key is known; settled ones are not
+        touched. From the second delivery on all parts are written to the checkpoint folder, so a delivery costs its own rows, the index and the waiting.
         """
-        arrived = presence(parent, ref)
-        if self.index is None or self.orphans is None:
-            return OrphanState(arrived, probe(references(child, ref), arrived))
-        rows = self.index.unionByName(arrived)
-        index = cut(merged_presence(rows.select("key", "open_from", "first_from", F.explode_outer("closed").alias("life"))))
+        arrived, refs = presence(parent, ref), references(child, ref)
+        counts = refs.groupBy("ref_field", "key").agg(F.count("*").alias("n"))
+        if self.index is None or self.orphans is None or self.counts is None:
+            return OrphanState(arrived, probe(refs, arrived), counts)
+        rows = arrived.select("key", "open_from", "first_from", F.explode_outer("closed").alias("life"))
+        index = cut(merged_presence(rows, self.index))
         waiting = self.orphans.where("kind = 'missing'").drop("kind")
         settled = self.orphans.where("kind <> 'missing'")
-        again = probe(waiting.unionByName(references(child, ref)), index)
-        return OrphanState(index, cut(settled.unionByName(again)))
+        again = probe(waiting.unionByName(refs), index)
+        counts = self.counts.unionByName(counts).groupBy("ref_field", "key").agg(F.sum("n").alias("n"))
+        return OrphanState(index, cut(settled.unionByName(again)), cut(counts))
+
+    def open_at(self, at: datetime) -> DataFrame:
+        """(ref_field, n_open): references so far whose parent is not present at a time; those whose parent was deleted are open again."""
+        there = (F.col("open_from") <= F.lit(at)) | F.exists("closed", lambda x: (x["from"] <= F.lit(at)) & (x["until"] > F.lit(at)))
+        gone = self.counts.join(self.index, "key", "left").where(~F.coalesce(there, F.lit(False)))
+        return gone.groupBy("ref_field").agg(F.sum("n").alias("n_open"))
 
 
 def orphans(ref: Reference, child: DataFrame, parent: DataFrame) -> DataFrame:
