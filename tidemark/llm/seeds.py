@@ -1,43 +1,41 @@
 """Labelled sentences of our own that every fit starts from, so that it knows something where labels are few.
 
-Fixed values, written for this package in the four languages of the corpus. BAD insult, threaten or demean a person, disparage a
-group of people, or describe or solicit sex; GOOD use such words about things, in trade, technology, medicine or of oneself, or
-are house rules and ordinary talk.
+Fixed values, written for this package in the four languages of the corpus without regard to any table's sentences. BAD insult, threaten or
+demean a person, disparage a group of people, or describe or solicit sex; GOOD use such words in technology, trade or medicine, of
+things or of oneself, or are rules of conduct and ordinary talk.
 """
 
 from __future__ import annotations
 
 BAD = (
     # English
-    "you are a stupid idiot", "what an idiot you are", "you are nothing but a loser", "shut your mouth, moron", "go to hell, you bastard",
-    "nobody likes you, you pathetic fool", "you dumb pig, learn to read", "only an imbecile like you would say that", "you are worthless and everybody hates you",
-    "i will find you and hurt you", "i am going to break your legs", "watch your back, i know your address", "i hope you die alone", "you should kill yourself",
-    "the world would be better without you", "those people are animals and do not belong here", "they are all thieves and liars", "their kind is vermin and must be driven out",
-    "immigrants are parasites", "that whole race is trash", "foreigners ruin this country, throw them out", "send me naked pictures of you", "hot girls want sex with you tonight",
-    "free porn videos, click here", "she undressed and he touched her naked body", "i want to sleep with you, sexy", "they had sex on the kitchen table", "take off your bra for me, babe",
+    "you are a stupid idiot", "what an idiot you are", "you are nothing but a loser", "shut your mouth, moron", "go to hell, you bastard", "nobody likes you, you pathetic fool",
+    "you dumb pig, learn to read", "you ugly piece of garbage", "you are worthless and everybody hates you", "i will find you and hurt you", "i am going to break your legs",
+    "watch your back tonight", "i hope you die alone", "you should kill yourself", "the world would be better without you", "those people are animals and do not belong here",
+    "they are all criminals and liars", "their kind is filth and must be driven out", "these newcomers are parasites", "that whole race is trash", "throw that rabble out of our land",
+    "undress for me on camera", "girls who want sex with you tonight", "free porn, click here", "she undressed and he touched her naked body", "i want to sleep with you, sexy", "they had sex on the kitchen table",
     # Portuguese
-    "voce e um idiota", "cala a boca, imbecil", "seu burro inutil, ninguem gosta de voce", "vai para o inferno, desgracado", "vou te encontrar e te quebrar a cara", "eu sei onde voce mora",
-    "espero que voce morra", "essa gente e lixo e devia sair do pais", "os imigrantes sao todos ladroes", "manda fotos nua para mim", "videos de sexo gratis", "quero transar com voce hoje",
+    "voce e um idiota", "cala essa boca suja, imbecil", "seu burro inutil, ninguem gosta de voce", "vai para o inferno, desgracado", "vou te encontrar e te quebrar a cara", "vou acabar com voce",
+    "espero que voce morra", "essa gente e lixo e nao presta", "esse povo e todo ladrao", "tira a roupa para mim", "sexo gratis agora", "quero transar com voce hoje",
     # Spanish
-    "eres un idiota", "callate, imbecil", "eres un inutil y nadie te quiere", "vete al infierno, desgraciado", "te voy a encontrar y te rompo la cara", "se donde vives, ten cuidado",
-    "ojala te mueras", "esa gente es basura y hay que echarla del pais", "los inmigrantes son todos ladrones", "mandame fotos desnuda", "videos porno gratis", "quiero acostarme contigo esta noche",
+    "eres un idiota", "cierra la boca, imbecil", "eres un inutil y nadie te quiere", "vete al infierno, desgraciado", "te voy a encontrar y te rompo la cara", "te vas a arrepentir, te lo juro",
+    "ojala te mueras", "esa gente es basura y no vale nada", "ese pueblo es todo ladron", "quiero verte sin ropa", "porno gratis aqui", "quiero acostarme contigo hoy",
     # German
-    "du bist ein idiot", "halt die fresse, du trottel", "du bist ein nutzloser versager", "fahr zur holle, du mistkerl", "ich finde dich und breche dir die knochen", "ich weiss, wo du wohnst",
-    "ich hoffe, du stirbst", "dieses volk ist abschaum und muss raus", "die auslander sind alle diebe", "schick mir nacktbilder von dir", "gratis pornos, klick hier", "ich will heute nacht sex mit dir",
+    "du bist ein idiot", "halt die fresse, du trottel", "du bist ein nutzloser versager", "fahr zur holle, du mistkerl", "ich finde dich und breche dir die knochen", "dich mache ich fertig",
+    "ich hoffe, du stirbst", "dieses volk ist abschaum", "die sind doch alle diebe und lugner", "zieh dich vor der kamera aus", "gratis pornos, klick hier", "ich will heute sex mit dir",
 )
 
 GOOD = (
     # English
-    "i am such an idiot, i forgot the comma", "silly me, what a stupid mistake of mine", "this stupid printer never works", "my dumb script broke again", "the bloody thing crashed",
-    "please do not insult other members", "calling people names is against the rules", "posts with insults or porn are deleted", "kill the process and start the server again",
-    "the child process dies with its parent", "the master node and its slave", "we sell nude and blush lipstick", "the column sex holds m or f", "the table has age, sex and weight of each patient",
-    "the breast cancer screening data", "the clown costume sells well", "pig iron and rat poison are in the same category", "vermin and pest control products", "trash and garbage bags",
-    "the report counts immigrants and foreigners by year", "thanks, that solved it for me", "how do i join two tables", "the query returns too many rows",
-    "i hope this helps you", "i know where the file lives", "you will regret dropping the index", "nobody would miss this column", "the strip function removes spaces", "adult sizes are in the clothing category",
+    "silly me, i read the wrong line", "i feel so stupid, it was a typo", "this lazy printer hates me", "my laptop is a drama queen", "the bloody thing crashed again",
+    "be polite or your post will be removed", "no swearing in this forum, please", "posts with insults are deleted", "abort the job and orphan the branch", "the daemon left zombies behind",
+    "a dummy variable for each level", "the male and the female connector", "dirty reads and naked pointers", "swimwear and lingerie by size", "garden sprays against pests", "adult sizes are in the clothing category",
+    "screening for cervical cancer", "sexual transmission of the virus in adults", "age, sex and weight of each patient", "thanks, that solved it for me", "how do i join two tables", "the query returns too many rows",
+    "i hope this helps you", "the file lives in another folder", "the function removes spaces",
     # Portuguese
-    "eu sou um burro, esqueci a virgula", "nao ofenda os outros membros", "o processo foi morto pelo sistema", "a coluna sexo tem m ou f", "como junto duas tabelas", "obrigado, funcionou",
+    "que tolice a minha, li a linha errada", "seja educado com os outros", "o processo foi encerrado pelo sistema", "idade e sexo dos pacientes", "como junto duas tabelas", "obrigado, funcionou",
     # Spanish
-    "soy un idiota, olvide la coma", "no insulten a los demas miembros", "hay que matar el proceso", "la columna sexo tiene m o f", "como uno dos tablas", "gracias, funciono",
+    "que tonteria la mia, lei la linea equivocada", "se ruega respeto a todos", "el proceso fue cerrado por el sistema", "edad y sexo de los pacientes", "como uno dos tablas", "gracias, funciono",
     # German
-    "ich idiot habe das komma vergessen", "beleidigungen sind hier verboten", "den prozess beenden und neu starten", "die spalte geschlecht enthalt m oder w", "wie verbinde ich zwei tabellen", "danke, das hat geholfen",
+    "wie dumm von mir, falsche zeile gelesen", "bitte freundlich bleiben", "der prozess wurde vom system beendet", "alter und geschlecht der patienten", "wie verbinde ich zwei tabellen", "danke, das hat geholfen",
 )
