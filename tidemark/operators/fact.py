@@ -62,6 +62,11 @@ def build_fact(tables: dict[str, DataFrame], schema: FactSchema = FactSchema(),
     own = ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value", "review_score")
     extra = [c for c in items.columns if c in own]
     fact = items.select(*extra).join(orders.select("order_id", "customer_id", schema.status_col, schema.time_col), "order_id", "left")
+    if "review_score" not in extra:  # here, while the rows still lie by order
+        if CANONICAL["reviews"] in tables:
+            fact = fact.join(first_review(tables[CANONICAL["reviews"]]), "order_id", "left")
+        else:
+            fact = fact.withColumn("review_score", F.lit(None).cast("double"))
     customers = tables[CANONICAL["customers"]]
     fact = fact.join(customers.select(*[c for c in ("customer_id", "customer_state", "customer_city") if c in customers.columns]), "customer_id", "left")
     products = tables[CANONICAL["products"]].select("product_id", "product_category_name")
@@ -75,11 +80,6 @@ def build_fact(tables: dict[str, DataFrame], schema: FactSchema = FactSchema(),
         fact = fact.join(hinted(tables[CANONICAL["sellers"]].select("seller_id", "seller_state")), "seller_id", "left")
     else:
         fact = fact.withColumn("seller_state", F.lit(None).cast("string"))
-    if "review_score" not in extra:
-        if CANONICAL["reviews"] in tables:
-            fact = fact.join(first_review(tables[CANONICAL["reviews"]]), "order_id", "left")
-        else:
-            fact = fact.withColumn("review_score", F.lit(None).cast("double"))
     kept = F.lit(True)
     for word in schema.cancelled:
         kept = kept & ~F.col(schema.status_col).eqNullSafe(word)

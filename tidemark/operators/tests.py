@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import kernels, pvalues
 from ..session import cut, ship
 from .profile import _size_bin
+from .skew import heavy_keys, salted_join
 
 #: The rank-sum test is exact if the smaller side has at most so many values, none tied, and the product of the sizes is at most EXACT_CELLS.
 EXACT_ROWS, EXACT_CELLS = 8, 400_000
@@ -89,31 +90,37 @@ def _exact(p, exact, u, na, nb):  # one row per group
     return pd.Series([kernels.exact_rank_sum(x, int(m), int(n)) if e else q for q, e, x, m, n in zip(p, exact, u, na, nb)])
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson's correlation, null without variance (the built-in one fails there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: Sequence[str], min_rows: int = 100) -> DataFrame:
     """(a, b, n, pearson, spearman, r, p) of each pair of the columns: r is the one further from 0 (Pearson on a tie), p its p-value.
 
     Rows in which either value is null or NaN are left out of a pair, and so are pairs with fewer than ``min_rows`` rows; without variance all is null.
-    Spearman is Pearson over average ranks, found from counts of equal values.
+    Spearman is Pearson over average ranks. Other columns of df are not read.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         raise ValueError("at least two columns")
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))).alias("c")
-    rows = df.select(cells).select("c.*").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    counted = cut(rows.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n")))
-    ranks = {}
+    cells = F.explode(F.array(*(F.struct(F.lit(f"{a}\x00{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))).alias("c")
+    # the columns alone are written out: what df is made of is then computed once, not for each pass below
+    rows = cut(df.select(*dict.fromkeys(columns))).select(cells).select("c.*").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    # -0.0 is 0.0, also where values meet as text
+    rows = rows.select("pair", (F.col("x") + F.lit(0.0)).alias("x"), (F.col("y") + F.lit(0.0)).alias("y"))
+    plain = rows.groupBy("pair").agg(F.count("*").alias("n"), _corr("x", "y").alias("pearson"))
+    # ranks of the distinct values, then back to the rows; a value that very many rows have is split over many tasks
+    ranked = rows
     for v in "xy":
-        own = counted.groupBy("a", "b", v).agg(F.sum("n").alias("n"))
-        ranks[v] = average_ranks(own, ["a", "b"], v, "n").select("a", "b", v, F.col("rank").alias(f"r{v}"))
-    both = counted.join(ranks["x"], ["a", "b", "x"]).join(ranks["y"], ["a", "b", "y"])
-    n = F.col("n").cast("double")
-
-    means = both.groupBy("a", "b").agg(F.sum("n").alias("m"), *(((F.sum(n * F.col(c))) / F.sum(n)).alias(f"m_{c}") for c in ("x", "y", "rx", "ry")))
-    moments = []
-    off = {c: F.col(c) - F.col(f"m_{c}") for c in ("x", "y", "rx", "ry")}
-    for name, x, y in (("pearson", "x", "y"), ("spearman", "rx", "ry")):
-        moments.append(F.try_divide(F.sum(n * off[x] * off[y]), F.sqrt(F.sum(n * off[x] * off[x]) * F.sum(n * off[y] * off[y]))).alias(name))
-    found = both.join(means, ["a", "b"]).groupBy("a", "b").agg(F.max("m").alias("n"), *moments).where(F.col("n") >= min_rows)
+        key = F.concat("pair", F.lit("\x00"), F.col(v).cast("string"))
+        own = average_ranks(rows.groupBy("pair", v).agg(F.count("*").alias("n")), ["pair"], v, "n").select(key.alias("_key"), F.col("rank").alias(f"r{v}"))
+        heavy = heavy_keys(rows.select(key.alias("_key")), "_key")
+        ranked = salted_join(ranked.withColumn("_key", key), own, "_key", ["x", "y"], "inner", heavy).drop("_key")
+    by_rank = ranked.groupBy("pair").agg(_corr("rx", "ry").alias("spearman"))
+    ends = F.split("pair", "\x00")
+    found = plain.where(F.col("n") >= min_rows).join(F.broadcast(by_rank), "pair")  # one row per pair of columns
+    found = found.select(ends[0].alias("a"), ends[1].alias("b"), "n", "pearson", "spearman")
     bounded = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     found = found.withColumns({"pearson": bounded("pearson"), "spearman": bounded("spearman")})
     found = found.withColumn("r", F.when(F.abs("spearman") > F.abs("pearson"), F.col("spearman")).otherwise(F.col("pearson")))
