@@ -35,7 +35,7 @@ GOOD_SENTENCES, LANDMARKS, FEATURES = 60_000, 300, 1 << 16
 #: Folds and turns of picking; sentences picked from bad documents, and hard good ones kept per turn, at most.
 FOLDS, TURNS, BAD_SENTENCES, HARD = 3, 4, 3000, 1500
 #: A bad document's worst sentence is accepted from ACCEPT on, further ones from SURE; good ones from DOUBT on are taken for wrong ratings.
-ACCEPT, SURE, DOUBT = -0.4, 0.3, 0.8
+ACCEPT, SURE, DOUBT = -0.5, 0.3, 0.8
 #: The share of good sentences that a sentence's log odds must exceed to be picked at any rate, and the occurrences that stand against chance.
 EVIDENCE, PRIOR = 0.998, 20.0
 #: A sentence is usual if its share among good documents is this part of that among bad ones or more.
@@ -254,7 +254,8 @@ def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
 
     Documents are dealt into folds. In each turn, a fold's bad documents get their worst sentences picked, and its good sentences
     their doubts, by a machine that did not see them: what only one document says is not learnt from that document. Good sentences enter as a bounded
-    random sample and those that score highest. The threshold is the one of best F1 over the held-out scores.
+    random sample and those that score highest. The result is the mean of the
+    last machines; its threshold is the one of best F1 over the held-out scores.
     """
     rng = np.random.default_rng(seed)
     docs = [(bad, list(dict.fromkeys(sentences(text)))) for bad, text in labelled]
@@ -313,6 +314,9 @@ def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
     bad = sorted({*seeds_bad, *(u for f in picked for u in picked[f])})
     final = _train(bad, sorted({*seeds_good, *(u for f in hard for u in hard[f])} - set(bad)), in_good, rng)
     best = np.array([machines[fold[k]].scores(units).max() if units else -np.inf for k, (_, units) in enumerate(docs)])
+    # the mean of the last machines: what a single deal of the folds let in weighs less
+    parts = [final, *machines.values()]
+    final = Machine(np.mean([m.weights for m in parts], axis=0), float(np.mean([m.bias for m in parts])))
     return Machine(final.weights, final.bias, _threshold(best, np.array([bad for bad, _ in docs], dtype=bool)))
 
 
