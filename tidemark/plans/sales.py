@@ -334,10 +334,10 @@ def causal_panel(spark, sf_dir):
 _OLS = ("revenue", "treatment", "n_items", "avg_price")
 
 
-@query(_PANEL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(sum(({a})::DOUBLE * ({b})::DOUBLE), 0), 2) AS total FROM (SELECT *, 1.0 AS const FROM panel) p" for i, a in enumerate((*_OLS, "const")) for b in (*_OLS, "const")[i:]))
+@query(_PANEL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(sum(({a})::DOUBLE * ({b})::DOUBLE), 0), 0) AS total FROM (SELECT *, 1.0 AS const FROM panel) p" for i, a in enumerate((*_OLS, "const")) for b in (*_OLS, "const")[i:]))
 def ols_sums(spark, sf_dir):
     f = facts(spark, sf_dir)
-    return causal.gram_sums(causal.panel(f, *_pair(f)), list(_OLS)).withColumn("total", F.round("total", 2))
+    return causal.gram_sums(causal.panel(f, *_pair(f)), list(_OLS)).withColumn("total", F.round("total", 0))
 
 
 @query()
