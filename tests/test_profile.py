@@ -51,6 +51,33 @@ def test_drift_is_zero_for_equal_loads_and_grows(spark):
     assert got["x", 2].previous == 1 and got["x", 2].chi_square > got["x", 1].chi_square
 
 
+def brute_drift(then, now):
+    a, b = Counter(now), Counter(then)
+    cells = a.keys() | b.keys()
+    k, na, nb = len(cells), len(now), len(then)
+    share = lambda n, all: (n + 0.5) / (all + 0.5 * k)
+    psi = sum((share(a[c], na) - share(b[c], nb)) * math.log(share(a[c], na) / share(b[c], nb)) for c in cells)
+    r = math.sqrt(nb / na)
+    return psi, sum((r * a[c] - b[c] / r) ** 2 / (a[c] + b[c]) for c in cells), k
+
+
+def test_drift_tells_every_value_apart(spark):
+    """Scores 4 and 5, and the states SP, MT and MA, once shared a bin."""
+    rng = random.Random(5)
+    loads = {g: [(rng.choice([1, 2, 4, 5, None]), rng.choice(states), rng.choice([4.0, 5.0, math.nan])) for _ in range(n)] for g, n, states in ((3, 60, ["SP", "RJ"]), (7, 80, ["MT", "MA", None]), (9, 70, ["SP", "RJ", "x" * 40]))}
+    loads[12] = [(4 if n == 5 else n, "MT" if s == "SP" else s, 4.0 if x == 5.0 else x) for n, s, x in loads[9]]
+    df = spark.createDataFrame([(g, *r) for g, rows in loads.items() for r in rows] + [(None, 1, "SP", 1.0)], "load int, n int, s string, x double")
+    got = {(r.column_name, r.load): r for r in profile.drift(df, ["n", "s", "x"], "load").collect()}
+    pairs = {(3, 7), (7, 9), (9, 12)}
+    assert {(c, r.previous, load) for (c, load), r in got.items()} == {(c, *pair) for c in "nsx" for pair in pairs}
+    for then, now in pairs:
+        for i, c in enumerate("nsx"):
+            psi, chi, k = brute_drift(*([("nan" if r[i] != r[i] else r[i]) for r in loads[g]] for g in (then, now)))
+            r = got[c, now]
+            assert math.isclose(r.psi, psi, rel_tol=1e-9) and math.isclose(r.chi_square, chi, rel_tol=1e-9) and r.bins == k
+    assert all(got[c, 12].psi > 0.3 and got[c, 12].chi_square > 5 for c in "nsx")
+
+
 def test_agreed_reads_nulls_and_nans(spark):
     df = spark.createDataFrame([("t", "c", math.nan, None, 1.0, None, None, "x")], "table_name string, column_name string, missing double, cardinality bigint, num_min double, num_max double, median double, pattern string")
     assert profile.agreed(df) == [Expected("t", "c", num_min=1.0, pattern="x")]

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, hinted
 
 #: Rows an agreed profile may have; it is read by the driver to build the checks.
 PROFILE_ROWS = 10_000
-#: Cells of frequency that drift compares per column: values of more kinds are folded by hash or by size.
-DRIFT_BINS = 64
+#: Whole numbers up to this size are bins of their own in drift, in columns with fractions too.
+WHOLE = 1000
 
 
 @dataclass(frozen=True)
@@ -190,30 +190,41 @@ def profile_columns(df: DataFrame, columns: Sequence[str], by: str | None = None
     )
 
 
+def _amount_cell(num: Column) -> Column:
+    """Text that tells amounts apart by size: steps of a fifth of a factor e, whole numbers up to WHOLE each on their own; null stays null."""
+    x = num.cast("double") + F.lit(0.0)
+    whole = (F.abs(x) <= WHOLE) & (x == F.floor(x))
+    return F.when(F.isnan(x), "nan").when(whole, F.concat(F.lit("="), x.cast("bigint").cast("string"))).otherwise(F.concat(F.lit("n"), F.floor(_size_bin(x) / 70).cast("string")))
+
+
 def drift(df: DataFrame, columns: Sequence[str], load: str) -> DataFrame:
     """(column_name, load, previous, psi, chi_square, bins): change of each column's distribution against the load before it.
 
-    Values fall into bins: null, NaN, numbers by size (never more than some thousands), text by a hash into 64. With p and
+    Every value is a bin of its own, and so is null; only numbers with fractions are told apart by size (NaN by itself). With p and
     q the shares of a bin in the load and in the one before, each raised by half a row so that none is 0, PSI is the sum of (p - q) ln(p / q) and
-    chi-square the two-sample statistic over the bins. Null loads are left out; the first load has no row.
+    chi-square the two-sample statistic over the bins. Null loads are left out; the first load has no row. For identifiers both say how many values are new.
     """
-    cell = (
-        F.when(F.col("value").isNotNull(), F.concat(F.lit("t"), F.pmod(F.xxhash64("value"), F.lit(DRIFT_BINS)).cast("string")))
-        .when(F.col("num").isNull(), "null")
-        .when(F.isnan("num"), "nan")
-        .otherwise(F.concat(F.lit("n"), F.floor(_size_bin(F.col("num")) / 70).cast("string")))
-    )
-    counts = value_counts(df, columns, load).where("group IS NOT NULL").groupBy("group", "column_name", cell.alias("cell")).agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    loads = counts.groupBy("group").agg(F.lit(1).alias("one"))
-    order = loads.withColumn("previous", F.lag("group").over(Window.partitionBy("one").orderBy("group"))).where("previous IS NOT NULL").select("group", "previous")
-    now = counts.join(order, "group").select("column_name", F.col("group").alias("load"), "previous", "cell", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    then = counts.withColumnRenamed("group", "previous").join(order, "previous").select("column_name", F.col("group").alias("load"), "previous", "cell", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    cells = now.unionByName(then).groupBy("column_name", "load", "previous", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    whole = Window.partitionBy("column_name", "load")
-    cells = cells.withColumns({"na": F.sum("a").over(whole), "nb": F.sum("b").over(whole), "k": F.count("*").over(whole)})
+    kinds = {c: df.schema[c].dataType for c in columns}
+    cells = [(_amount_cell(F.col(f"`{c}`")) if isinstance(kind, (T.FractionalType, T.DecimalType)) else F.col(f"`{c}`").cast("string")).alias(c) for c, kind in kinds.items()]
+    rows = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("_load"), *cells)
+    numbered = Window.partitionBy("_one").orderBy("group")
+    loads = rows.select(F.col("_load").alias("group")).distinct().withColumn("_one", F.lit(1))  # one row per load
+    loads = cut(loads.select("group", F.row_number().over(numbered).alias("at"), F.lag("group").over(numbered).alias("previous")))
+    counts = value_counts(rows, list(kinds), "_load").join(hinted(loads), "group").select("column_name", "value", "at", "n")
+    # each count meets that of the load before; where the next load lacks the value, it is the one before of a 0
+    value = Window.partitionBy("column_name", "value").orderBy("at")
+    near = counts.withColumns({"_n": F.when(F.lag("at").over(value) == F.col("at") - 1, F.lag("n").over(value)), "_next": F.lead("at").over(value)})
+    zero = F.lit(0).cast("bigint")
+    own = F.struct("at", F.col("n").alias("a"), F.coalesce("_n", zero).alias("b"))
+    gone = F.when(~F.col("_next").eqNullSafe(F.col("at") + 1), F.struct((F.col("at") + 1).alias("at"), zero.alias("a"), F.col("n").alias("b")))
+    pairs = near.select("column_name", F.explode(F.array_compact(F.array(own, gone))).alias("pair"))
+    # the figures depend on the two counts alone, so equal pairs are counted: few rows however many values there are
+    pairs = pairs.groupBy("column_name", "pair.at", "pair.a", "pair.b").agg(F.count("*").alias("m"))
+    whole = Window.partitionBy("column_name", "at")
+    pairs = pairs.withColumns({"na": F.sum(F.col("m") * F.col("a")).over(whole), "nb": F.sum(F.col("m") * F.col("b")).over(whole), "k": F.sum("m").over(whole)})
     p = (F.col("a") + 0.5) / (F.col("na") + 0.5 * F.col("k"))
     q = (F.col("b") + 0.5) / (F.col("nb") + 0.5 * F.col("k"))
     ratio = F.sqrt(F.col("nb") / F.col("na"))
     chi = F.pow(ratio * F.col("a") - F.col("b") / ratio, 2) / (F.col("a") + F.col("b"))
-    return cells.groupBy("column_name", "load", "previous").agg(F.sum((p - q) * F.log(p / q)).alias("psi"), F.sum(chi).alias("chi_square"), F.count("*").alias("bins"))
+    pairs = pairs.join(hinted(loads.where("previous IS NOT NULL")), "at")  # also drops the first load's own pairs and those after the last
+    return pairs.groupBy("column_name", F.col("group").alias("load"), "previous").agg(F.sum(F.col("m") * (p - q) * F.log(p / q)).alias("psi"), F.sum(F.col("m") * chi).alias("chi_square"), F.sum("m").alias("bins"))
