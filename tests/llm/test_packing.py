@@ -77,3 +77,15 @@ def test_token_counts(spark):
     texts = [None, "", "hello world", "a" * 300_000, " " * 1_200_000 + "x", "naïve 漢字 🙂", "<|endoftext|>"]
     got = {r.id: r.n_tokens for r in packing.token_counts(spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "id int, text string, n_tokens int"), "id", "text").collect()}
     assert got[0] == 0 and got[1] == 0 and got[2] == 2 and got[3] > 0 and got[4] > 0 and got[5] > 3 and got[6] > 1
+
+
+def test_a_long_run_does_not_change_the_rest_of_its_text(spark):
+    """Once such a text was cut at all white space, so that each of its words cost a token more."""
+    rng = random.Random(4)
+    prose = " ".join(rng.choices(["The", "quick", "brown", "fox's", "jumps,", "over", "42", "lazy\n", "dogs."], k=4000))
+    blob = "".join(rng.choices("ABCDEFGHIJabcdefghij0123456789+/", k=150_000))
+    word, blank = "a" * 250_000, " \n" * 125_000
+    texts = [prose, " " + prose, " " + blob, " " + word, blank, f"{prose} {blob} {prose}", f"{prose} {word} {prose}", f"{prose}{blank} {prose}", f"{blob} {blob}{blank} {prose}"]
+    got = {r.id: r.n_tokens for r in packing.token_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()}
+    assert got[5] == got[0] + got[2] + got[1] and got[6] == got[0] + got[3] + got[1]
+    assert abs(got[7] - (got[0] + got[4] + got[1])) <= 2 and abs(got[8] - (2 * got[2] + got[4] + got[1])) <= 3

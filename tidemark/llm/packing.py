@@ -25,7 +25,7 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 RANKED_TOGETHER = 500_000
 # The pattern that splits text before the merges of this vocabulary: a fixed value that belongs to it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space, or characters without any, that are tokenized at once: longer runs, beyond what the tokenizer bears, are cut there first.
+#: White-space characters in a row that are tokenized at once. The tokenizer's stack overflows somewhere beyond; other runs, however long, do not harm it.
 LONGEST_RUN = 100_000
 
 
@@ -93,7 +93,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 
 
 def token_counts(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, n_tokens): the number of tokens of each whole text; null and empty texts have 0."""
+    """(key, n_tokens): the number of tokens of each whole text; null and empty texts have 0.
+
+    Only inside a run of more than LONGEST_RUN white-space characters is a text cut; all else is encoded as it stands, so the count can differ
+    from the uncut text's by a token or so per cut.
+    """
 
     def count(batches: Iterator) -> Iterator:
         import base64
@@ -105,14 +109,16 @@ def token_counts(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS
         with open(f"{directory}/{vocabulary}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        run, part = re.compile(r"\S{%d}|\s{%d}" % (LONGEST_RUN, LONGEST_RUN)), re.compile(r"\s{1,%d}|\S{1,%d}" % (LONGEST_RUN, LONGEST_RUN))
+        blank = re.compile(r"\s\s+")
 
         def size(text: str | None) -> int:
             if not text:
                 return 0
-            if len(text) > LONGEST_RUN and run.search(text):
-                return sum(len(encoder.encode_ordinary(m[0])) for m in part.finditer(text))
-            return len(encoder.encode_ordinary(text))
+            if len(text) <= LONGEST_RUN:
+                return len(encoder.encode_ordinary(text))
+            # each cut leaves white space on both sides, so the last of a run still joins the word after it
+            cuts = [at for m in blank.finditer(text) for at in range(m.start() + LONGEST_RUN, m.end(), LONGEST_RUN)]
+            return sum(len(encoder.encode_ordinary(text[a:b])) for a, b in zip([0, *cuts], [*cuts, len(text)]))
 
         for batch in batches:
             sizes = [size(x) for x in batch.column(1).to_pylist()]
