@@ -1,12 +1,15 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import profile
 from tidemark.operators.profile import Expected
+from tidemark.plans import quality
 
 SCHEMA = "load int, x double, s string, n bigint, value string"
 
@@ -78,6 +81,20 @@ def test_drift_tells_every_value_apart(spark):
     assert all(got[c, 12].psi > 0.3 and got[c, 12].chi_square > 5 for c in "nsx")
 
 
+def test_drift_of_dates_is_that_of_their_distance(spark):
+    rows = [(g, f"2024-0{g}-01 03:00:00", None if i % 4 == 0 and g == 3 else f"2024-0{g}-{1 + i % 5 + 9 * (g == 4):02d} 04:00:00") for g in (1, 2, 3, 4) for i in range(40)]
+    df = spark.createDataFrame([*rows, (4, None, "2024-04-09 00:00:00")], "load int, at string, d string").withColumns({c: F.col(c).cast("timestamp") for c in ("at", "d")})
+    got = {r.load: r for r in profile.drift(df, ["d"], "load", {"d": "at"}).collect()}
+    assert (got[2].psi, got[2].chi_square, got[2].bins) == (0, 0, 5)  # the dates are others, the distances are not
+    assert got[3].bins == 6 and got[3].chi_square > 5 and got[4].bins == 6 + 5 + 1 and got[4].psi > 1
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+def test_drift_covers_every_column(spark):
+    got = {(r.table_name, r.column_name) for r in quality.p3_drift(spark, "/root/testdata/sf0.001").select("table_name", "column_name").distinct().collect()}
+    assert got == {(name, c) for name in quality.PROFILED for c in quality.table(spark, "/root/testdata/sf0.001", name).columns if c not in ("ingest_id", "load_id")}
+
+
 def test_agreed_reads_nulls_and_nans(spark):
     df = spark.createDataFrame([("t", "c", math.nan, None, 1.0, None, None, "x")], "table_name string, column_name string, missing double, cardinality bigint, num_min double, num_max double, median double, pattern string")
     assert profile.agreed(df) == [Expected("t", "c", num_min=1.0, pattern="x")]

@@ -197,15 +197,30 @@ def _amount_cell(num: Column) -> Column:
     return F.when(F.isnan(x), "nan").when(whole, F.concat(F.lit("="), x.cast("bigint").cast("string"))).otherwise(F.concat(F.lit("n"), F.floor(_size_bin(x) / 70).cast("string")))
 
 
-def drift(df: DataFrame, columns: Sequence[str], load: str) -> DataFrame:
+def _distance_cell(date: Column, since: Column) -> Column:
+    """Text for the whole days from since to date; null stays null, and a date without since is told apart."""
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    days = _amount_cell(F.floor((seconds(date) - seconds(since)) / 86400))
+    return F.when(date.isNotNull(), F.coalesce(days, F.lit("undated")))
+
+
+def drift(df: DataFrame, columns: Sequence[str], load: str, since: Mapping[str, str] | None = None) -> DataFrame:
     """(column_name, load, previous, psi, chi_square, bins): change of each column's distribution against the load before it.
 
     Every value is a bin of its own, and so is null; only numbers with fractions are told apart by size (NaN by itself). With p and
     q the shares of a bin in the load and in the one before, each raised by half a row so that none is 0, PSI is the sum of (p - q) ln(p / q) and
     chi-square the two-sample statistic over the bins. Null loads are left out; the first load has no row. For identifiers both say how many values are new.
+
+    since: date column -> the date column that its values are measured from, in whole days: dates themselves are new in each load.
     """
     kinds = {c: df.schema[c].dataType for c in columns}
-    cells = [(_amount_cell(F.col(f"`{c}`")) if isinstance(kind, (T.FractionalType, T.DecimalType)) else F.col(f"`{c}`").cast("string")).alias(c) for c, kind in kinds.items()]
+
+    def cell(c: str) -> Column:
+        if since and c in since:
+            return _distance_cell(F.col(f"`{c}`"), F.col(f"`{since[c]}`"))
+        return _amount_cell(F.col(f"`{c}`")) if isinstance(kinds[c], (T.FractionalType, T.DecimalType)) else F.col(f"`{c}`").cast("string")
+
+    cells = [cell(c).alias(c) for c in kinds]
     rows = df.where(F.col(f"`{load}`").isNotNull()).select(F.col(f"`{load}`").alias("_load"), *cells)
     numbered = Window.partitionBy("_one").orderBy("group")
     loads = rows.select(F.col("_load").alias("group")).distinct().withColumn("_one", F.lit(1))  # one row per load

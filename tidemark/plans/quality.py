@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import cooccurrence, parsing, profile, references, skew
-from ..session import hinted
+from ..session import cut, hinted
 
 ITEMS, ORDERS, CUSTOMERS = "olist_order_items_dataset", "olist_orders_dataset", "olist_customers_dataset"
 PRODUCTS, CATEGORIES, REVIEWS = "olist_products_dataset", "product_category_name_translation", "olist_order_reviews_dataset"
@@ -128,8 +129,16 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = {ORDERS: ["order_status", "customer_id"], ITEMS: ["product_id", "seller_id", "price", "freight_value"], CUSTOMERS: ["customer_state", "customer_city"], REVIEWS: ["review_score"]}
-    parts = [profile.drift(table(spark, sf_dir, name), columns, "load_id").withColumn("table_name", F.lit(name)) for name, columns in wanted.items()]
+    """Every column of the four tables but the row's own number and its load. Dates are compared by their distance to loaded_at; loaded_at itself, and
+    those of a table without it, by that to the first loaded_at among the orders of the same load."""
+    started = hinted(cut(table(spark, sf_dir, ORDERS).groupBy("load_id").agg(F.min("loaded_at").alias("_started"))))  # one row per load
+    parts = []
+    for name in PROFILED:
+        df = table(spark, sf_dir, name)
+        columns = [c for c in df.columns if c not in ("ingest_id", "load_id")]
+        dates = [c for c in columns if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+        since = {c: "loaded_at" if "loaded_at" in columns and c != "loaded_at" else "_started" for c in dates}
+        parts.append(profile.drift(df.join(started, "load_id", "left"), columns, "load_id", since).withColumn("table_name", F.lit(name)))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select("table_name", "column_name", F.col("load").alias("load_id"), F.col("previous").alias("previous_load"), F.round("psi", 6).alias("psi"), F.round("chi_square", 3).alias("chi_square"), "bins")
 
