@@ -56,6 +56,12 @@ def test_kernel_is_an_inner_product_that_bears_gaps():
     assert np.allclose(toxicity.Subsequences(units).score(weights), rows @ weights, atol=1e-2)
 
 
+@pytest.mark.parametrize("text", ["l.o.s.e.r", "l-o-s-e-r", "l  o  s  e  r", "l\u00a0 o\u00a0 s\u00a0 e\u00a0 r"])
+def test_kernel_bears_a_character_after_every_letter(text):
+    rows = toxicity.Subsequences([toxicity.even(text), "loser"]).dense()
+    assert rows[0] @ rows[1] > 0.05 * np.sqrt((rows[0] @ rows[0]) * (rows[1] @ rows[1]))
+
+
 def test_svm_separates():
     rng = np.random.default_rng(1)
     z = np.vstack([rng.normal(2, 1, (50, 3)), rng.normal(-2, 1, (50, 3))])

@@ -1,8 +1,8 @@
 """Abusive, hateful or sexual content: a subsequence string kernel with Nystroem landmarks and a support vector machine.
 
 Texts are cut into sentences and their spelling is evened out (accents, look-alike letters, digits for letters, invisible
-characters, stretched and spaced-out words). The kernel of two sentences counts the character subsequences of lengths 3 to 5 they share, gaps
-allowed and discounted, over the roots of their lengths: an insult with characters masked or put in still shares most of its
+characters, stretched and spaced-out words). The kernel of two sentences counts the character subsequences of lengths 3 to 5 they share, with one gap
+or with one character skipped after every letter, discounted, over the roots of their lengths: an insult with characters masked or put in still shares most of its
 subsequences. The kernel against bounded landmarks, whitened, gives the coordinates in which the machine is trained. As the kernel is an inner
 product of (hashed) subsequence counts, the trained machine is one weight per subsequence: scoring costs the same however many landmarks there are.
 
@@ -50,7 +50,10 @@ _PLACES = (
     (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4),
     (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4),
     (0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5),
+    (0, 2, 4), (0, 2, 4, 6), (0, 2, 4, 6, 8),  # a character put in after every letter
 )
+#: The furthest place: so many empty characters part the sentences.
+_REACH = max(p[-1] for p in _PLACES)
 #: Sentences are at most this long; longer stretches are cut into pieces that overlap by half.
 SENTENCE = 160
 
@@ -78,9 +81,9 @@ def even(text: str) -> str:
         text = text.translate(_ALIKE)
     text = _WORDISH.sub(_letters, text)
     text = _STRETCH.sub(r"\1", text)
+    text = _ODD_SPACE.sub(" ", text)
     text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    text = _NUMBER.sub("0", text)
-    return _ODD_SPACE.sub(" ", text)
+    return _NUMBER.sub("0", text)
 
 
 def _letters(m: re.Match) -> str:
@@ -114,17 +117,17 @@ class Subsequences:
 
     def __init__(self, units: Sequence[str]):
         # a space at either end, so that words at the edges look like words inside
-        text = "".join(f" {u} \0\0\0\0\0" for u in units)
+        text = "".join(f" {u} " + "\0" * _REACH for u in units)
         self.codes = np.frombuffer(text.encode("utf-32-le"), dtype="uint32").astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
         self.empty = np.frombuffer(text.encode("utf-32-le"), dtype="uint32") == 0
-        lengths = np.array([len(u) + 7 for u in units], dtype="int64")
+        lengths = np.array([len(u) + 2 + _REACH for u in units], dtype="int64")
         self.starts = np.cumsum(lengths) - lengths
         self.unit = np.repeat(np.arange(len(units)), lengths)
-        self.norm = 1 / np.sqrt(np.maximum(lengths - 5, 8))
+        self.norm = 1 / np.sqrt(np.maximum(lengths - _REACH, 8))
 
     def kinds(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """(places, features, weight) of each kind of subsequence."""
-        n = len(self.codes) - 5
+        n = len(self.codes) - _REACH
         for places in _PLACES:
             h = np.full(n, np.uint64(len(places)), dtype="uint64")
             good = ~self.empty[:n]
