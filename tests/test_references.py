@@ -52,21 +52,53 @@ def test_against_definition(spark, name):
     assert sorted((r.ref_id, r.kind) for r in got) == brute(children, parents)
 
 
-def test_shuffled_path_agrees(spark, monkeypatch):
+def hot():
     children = [(k, "hot" if k % 2 else f"k{k % 40}", k % 30) for k in range(600)]
-    parents = [("hot", 10, None), *((f"k{k}", k % 20, None if k % 3 else 25) for k in range(0, 40, 2))]
-    monkeypatch.setattr(references, "small", lambda df: False)
+    return children, [("hot", 10, 20), ("hot", 25, None), *((f"k{k}", k % 20, None if k % 3 else 25) for k in range(0, 40, 2))]
+
+
+def test_heavy_keys_are_spread_and_agree(spark):
+    children, parents = hot()
     got = references.orphans(REF, *frames(spark, children, parents)).collect()
+    assert "hot" in references.heavy_keys(frames(spark, children, parents)[0], "key")
     assert sorted((r.ref_id, r.kind) for r in got) == brute(children, parents)
 
 
+def brute_open(children, parents, end):
+    return sum(1 for _, k, t in children if t < end and not any(p == k and f < end and (u is None or u >= end) for p, f, u in parents))
+
+
+def test_snapshots_against_definition(spark):
+    children = [(k, "hot" if k % 3 else f"k{k % 9}", (7 * k) % 200) for k in range(300)]
+    parents = [("hot", 10, 50), ("hot", 100, 170), ("hot", 180, None), ("k1", 5, None), ("k2", 64, 65), ("k2", 90, 250), ("k3", 400, None), ("k4", 30, 20), ("k4", 60, 60)]
+    ends = {"2022-01": 31, "2022-02": 59, "2022-03": 90, "2022-04": 120, "2022-05": 151, "2022-06": 181, "2022-07": 212}
+    got = {r.period: r.n_open for r in references.snapshots(REF, *frames(spark, children, parents)).collect()}
+    assert got == {m: n for m, end in ends.items() if (n := brute_open(children, parents, end))}
+
+
+def test_deliveries_agree_with_one_pass_and_only_append(spark):
+    children, parents = hot()
+    state, sizes = references.OrphanState(), []
+    for low in range(0, 30, 6):
+        new = [x for x in children if low <= x[2] < low + 6]
+        rows = [x for x in parents if low <= x[1] < low + 6]
+        again = [x for x in parents if x[1] < low and x[2] is not None and low <= x[2] < low + 6]
+        begun = [(k, f, u if u is not None and u < low + 6 else None) for k, f, u in rows]
+        state = state.advance(REF, *frames(spark, new, begun + again), at(low + 6) - timedelta(microseconds=1))
+        sizes.append(state.keys.where(F.col("version") == state.version).count())
+    assert sorted((r.ref_id, r.kind) for r in state.orphans.collect()) == brute(children, parents)
+    assert state.open_at(at(29)).first().n_open == references.OrphanState().advance(REF, *frames(spark, children, parents)).open_at(at(29)).first().n_open
+    one = state.step(REF, *frames(spark, [(9999, "k1", 30)], []))
+    assert one["keys"].count() == 1 and one["found"].count() <= 1 and one["resolved"].count() == one["open"].count() == 0 and one["changes"].count() == 1
+
+
 def test_deliveries_one_by_one_reach_the_same_state(spark):
     children = [(k, f"k{k % 7}", k % 10) for k in range(60)]
     parents = [(f"k{k}", (3 * k) % 10, None if k % 2 else 8) for k in range(6)]
     state = references.OrphanState()
     for day in range(10):
         c, p = frames(spark, [x for x in children if x[2] == day], [x for x in parents if x[1] == day])
-        state = state.advance(REF, c, p)
+        state = state.advance(REF, c, p, at(day))
     assert sorted((r.ref_id, r.kind) for r in state.orphans.collect()) == brute(children, parents)
 
 

@@ -26,7 +26,7 @@ def test_stream_ends_in_the_state_of_one_batch(spark, tmp_path):
     orphans = OrphanStream(spark, str(tmp_path / "state"), "child.key")
     query = orphans.start(stream, str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
-    assert query.exception() is None and orphans.versions() == [1, 2]
+    assert query.exception() is None and orphans.versions() == [0, 1, 2]
     got = {(r.ref_id, r.kind) for r in orphans.state().orphans.collect()}
     assert got == {(2, "late"), (4, "deleted"), (5, "missing")}
     assert sorted(r.n_open for r in orphans.state().open_at(DAY + timedelta(days=6)).collect()) == [3]

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of the rows on; at most 1 / HEAVY_SHARE keys can be.
-HEAVY_SHARE = 0.01
+#: A key is heavy from this share of the rows on, or from half a core's share where that is less; never below LEAST_SHARE: at most 1 / LEAST_SHARE keys can be heavy.
+HEAVY_SHARE, LEAST_SHARE = 0.01, 1e-4
 #: Parts that a heavy key is split into, per core of the cluster.
 SALTS_PER_CORE = 2
 
@@ -22,11 +22,17 @@ def salt_count(df: DataFrame) -> int:
     return max(8, SALTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
-    """All non-null values of ``key`` that hold at least ``share`` of the rows, perhaps with some lighter ones.
+def heavy_share(df: DataFrame) -> float:
+    """The share of rows from which a key would keep one core busy for longer than the others."""
+    return max(LEAST_SHARE, min(HEAVY_SHARE, 0.5 / df.sparkSession.sparkContext.defaultParallelism))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> list:
+    """All non-null values of ``key`` that hold at least ``share`` of the rows (by default heavy_share()), perhaps with some lighter ones.
 
     An empty table has none. The list has at most about 1 / share entries, whatever the size of df.
     """
+    share = share or heavy_share(df)
     found = df.select(F.col(key).alias("k")).where("k IS NOT NULL").stat.freqItems(["k"], share).first()
     return sorted(found[0] or []) if found else []
 
@@ -48,7 +54,7 @@ def salted_aggregate(
     key: str,
     measures: dict[str, tuple[str, str]],
     entity: Sequence[str],
-    share: float = HEAVY_SHARE,
+    share: float | None = None,
     heavy: list | None = None,
 ) -> DataFrame:
     """Per-key results in two stages: partials per key and salt, then a merge by key.
