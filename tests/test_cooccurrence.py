@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -30,11 +32,30 @@ def check(spark, pairs):
     assert all(abs(x.lift - x.n_ab * x.n / (x.n_a * x.n_b)) < 1e-12 for x in got)
 
 
-def test_many_items_cross_tiles(spark):
+def test_many_items_cross_blocks(spark):
     rng = random.Random(5)
     check(spark, [(f"r{rng.randrange(300)}", f"i{rng.randrange(700)}") for _ in range(3000)])
 
 
+@pytest.mark.parametrize("head, block, coordinates", [(0, 7, 50), (3, 2, 10), (3, 1000, 10**6), (1000, 5, 10)])
+def test_head_and_rare_items_add_up(monkeypatch, head, block, coordinates):
+    """The task's own sums, with a small head and few coordinates held at once."""
+    for name, value in (("HEAD", head), ("BLOCK", block), ("COORDINATES", coordinates)):
+        monkeypatch.setattr(cooccurrence, name, value)
+    rng = random.Random(head + block)
+    sets = [sorted({f"i{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(rng.randrange(1, 9))}) for _ in range(120)] + [[f"i{k}" for k in range(60)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(sets[k : k + 50], pa.list_(pa.string()))], ["items"]) for k in range(0, len(sets), 50)]
+    got = {}
+    for batch in cooccurrence._gram(iter(batches)):
+        for r in batch.to_pylist():
+            got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["n"]
+    want = {(None, None): len(sets)}
+    for s in sets:
+        for p in [*((x, x) for x in s), *combinations(sorted(s), 2)]:
+            want[p] = want.get(p, 0) + 1
+    assert got == want
+
+
 def test_hot_record_and_repeats(spark):
     check(spark, [("r", f"i{k % 40}") for k in range(2000)] + [("s", "i1"), ("s", "i2"), ("s", "i1")])
 

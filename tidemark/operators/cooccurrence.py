@@ -2,8 +2,8 @@
 
 Baskets become rows of a binary matrix X, held sparse (offsets and item numbers). Its Gram matrix X'X has the item counts
 on the diagonal and the pair counts beside it, and is the sum of the Gram matrices of blocks of records. Each task
-multiplies block by block, tile of items by tile of items, using only the records that have items in both tiles, and
-sends one row per pair it saw: pairs of single records are never emitted.
+numbers the items by how often its first records have them. The frequent ones, the head, are multiplied as dense blocks; columns beyond
+are multiplied in sparse form, as coordinates that are added up. A task sends one row per pair it saw: pairs of single records are never emitted.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-#: Items along one side of a tile.
-TILE = 256
-#: Tiles (256 KB each) a task holds before it sends what they have.
-HELD_TILES = 128
+#: Items of the head, and records of a block.
+HEAD, BLOCK = 1024, 4096
+#: Coordinates of rare items that a task expands at once, and that it holds before it sends what they add up to.
+COORDINATES = 2_000_000
 
 
 def baskets(df: DataFrame, record: str, item: str) -> DataFrame:
@@ -37,62 +37,78 @@ def _gram(batches: Iterator) -> Iterator:
 
     number: dict[str, int] = {}
     names: list[str] = []
-    tiles: dict[tuple[int, int], np.ndarray] = {}
-    records = 0
-
-    def send() -> Iterator:
-        nonlocal records
-        for (i, j), tile in tiles.items():
-            a, b = np.nonzero(tile)
-            if i == j:
-                a, b = a[a <= b], b[a <= b]
-            first = [names[k] for k in a + i * TILE]
-            second = [names[k] for k in b + j * TILE]
-            lower = [min(p, q) for p, q in zip(first, second)]
-            upper = [max(p, q) for p, q in zip(first, second)]
-            yield pa.RecordBatch.from_arrays([pa.array(lower, pa.string()), pa.array(upper, pa.string()), pa.array(tile[a, b].astype("int64"))], ["a", "b", "n"])
-        if records:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([records], pa.int64())], ["a", "b", "n"])
-        tiles.clear()
-        records = 0
+    dense = np.zeros((0, 0), dtype="int64")
+    sparse: list[tuple] = []
+    records = held = 0
+
+    def rows(first, second, n) -> Iterator:
+        for start in range(0, len(n), 100_000):
+            part = slice(start, start + 100_000)
+            ends = [sorted((names[p], names[q])) for p, q in zip(first[part].tolist(), second[part].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.string()), pa.array([y for _, y in ends], pa.string()), pa.array(n[part])], ["a", "b", "n"])
+
+    def summed() -> tuple:
+        codes, at = np.unique(np.concatenate([c for c, _ in sparse]), return_inverse=True)
+        return codes, np.bincount(at, weights=np.concatenate([n for _, n in sparse]), minlength=len(codes)).astype("int64")
+
+    def coordinates(row, column, start, length) -> Iterator:
+        """The products of rare columns with all columns up to them, in pieces of bounded size."""
+        nonlocal held
+        rare = np.flatnonzero(column >= HEAD)
+        upto = np.cumsum(length[row[rare]])
+        piece = np.flatnonzero(np.diff(upto // COORDINATES)) + 1
+        for entries in np.split(rare, piece):
+            many = length[row[entries]]
+            own = np.repeat(column[entries], many)
+            other = column[np.repeat(start[row[entries]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            kept = other <= own
+            codes, n = np.unique(own[kept] << 32 | other[kept], return_counts=True)
+            sparse.append((codes, n))
+            held += len(codes)
+            if held > COORDINATES:
+                sparse[:] = [summed()]
+                held = len(sparse[0][0])
+                if 2 * held > COORDINATES:
+                    yield from rows(sparse[0][0] >> 32, sparse[0][0] & 0xFFFFFFFF, sparse[0][1])
+                    sparse.clear()
+                    held = 0
 
     for batch in batches:
         lists = batch.column(0)
         coded = lists.flatten().dictionary_encode()
-        for name in coded.dictionary.to_pylist():
-            if name not in number:
-                number[name] = len(names)
-                names.append(name)
-        own = np.array([number[name] for name in coded.dictionary.to_pylist()], dtype="int64")
-        columns = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, dtype="int64")
+        seen, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        for k in np.argsort(-np.bincount(index, minlength=len(seen)), kind="stable").tolist():
+            if seen[k] not in number:
+                number[seen[k]] = len(names)
+                names.append(seen[k])
+        own = np.array([number[x] for x in seen], dtype="int64")
+        columns = own[index] if len(own) else np.zeros(0, dtype="int64")
         lengths = np.diff(lists.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(lists)), lengths)
+        ends = np.cumsum(lengths)
         records += len(lists)
-        by_tile = {}
-        for t in np.unique(columns // TILE):
-            here = columns // TILE == t
-            by_tile[int(t)] = (rows[here], columns[here] - t * TILE)
-        order = sorted(by_tile)
-        for x, i in enumerate(order):
-            for j in order[x:]:
-                (ri, ci), (rj, cj) = by_tile[i], by_tile[j]
-                both = np.intersect1d(ri, rj) if i != j else np.unique(ri)
-                if not len(both):
-                    continue
-                left = np.zeros((len(both), TILE), dtype="float32")
-                ki = np.isin(ri, both)
-                left[np.searchsorted(both, ri[ki]), ci[ki]] = 1
-                if i == j:
-                    right = left
-                else:
-                    right = np.zeros((len(both), TILE), dtype="float32")
-                    kj = np.isin(rj, both)
-                    right[np.searchsorted(both, rj[kj]), cj[kj]] = 1
-                tile = tiles.setdefault((i, j), np.zeros((TILE, TILE), dtype="int64"))
-                tile += (left.T @ right).astype("int64")  # a block has far fewer than 2**24 records: exact
-                if len(tiles) > HELD_TILES:
-                    yield from send()
-    yield from send()
+        width = min(HEAD, len(names))
+        if width > len(dense):
+            grown = np.zeros((width, width), dtype="int64")
+            grown[: len(dense), : len(dense)] = dense
+            dense = grown
+        for low in range(0, len(lists), BLOCK):
+            length = lengths[low : low + BLOCK]
+            base = ends[low] - lengths[low]
+            column = columns[base : base + length.sum()]
+            row = np.repeat(np.arange(len(length)), length)
+            x = np.zeros((len(length), width), dtype="float32")
+            frequent = column < HEAD
+            x[row[frequent], column[frequent]] = 1
+            dense += (x.T @ x).astype("int64")  # a block has far fewer than 2**24 records: exact
+            if not frequent.all():
+                yield from coordinates(row, column, np.cumsum(length) - length, length)
+    a, b = np.nonzero(np.triu(dense))
+    yield from rows(a, b, dense[a, b])
+    if sparse:
+        codes, n = summed()
+        yield from rows(codes >> 32, codes & 0xFFFFFFFF, n)
+    if records:
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([records], pa.int64())], ["a", "b", "n"])
 
 
 def pair_counts(sets: DataFrame) -> DataFrame:

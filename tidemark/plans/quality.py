@@ -32,7 +32,7 @@ def product_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, ITEMS).select("order_id", "product_id")
-    named = items.join(hinted(product_categories(spark, sf_dir)), "product_id")
+    named = skew.lookup(items, product_categories(spark, sf_dir), "product_id", ["order_id"], "inner")
     return cooccurrence.co_occurrence(named, "order_id", "category")
 
 
@@ -209,42 +209,43 @@ def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 5. a few keys holding most records
 
 
-ALL = "\x00all"  # stands for "any key of the field" while both are counted in one pass
+_MEASURES = {"n_items": ("count", "order_item_id"), "cents": ("sum", "cents")}
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key_field, key_value, n_items, revenue, n_field): items are distinct (order_id, order_item_id); n_field counts those with any key of the field.
 
     The revenue of an item is price plus freight of its first row (smallest ingest_id) that has a price, in cents; NaN and null amounts count as 0.
+    The item rows move once, by order (large orders split by item): there they become distinct and meet the states of their order. Stage one counts per
+    set of keys and salt, on the map side first, so few rows are left, whatever a key holds; stage two merges these by each key.
     """
     rows = table(spark, sf_dir, ITEMS).select("ingest_id", "order_id", "order_item_id", "product_id", "price", "freight_value")
     zero = F.lit(0.0)
     amount = F.when(F.col("price").isNotNull(), F.round((F.nanvl("price", zero) + F.coalesce(F.nanvl("freight_value", zero), zero)) * 100).cast("bigint"))
-    first = F.min(F.when(amount.isNotNull(), F.struct("ingest_id", amount.alias("cents")))).alias("first")
-    named = rows.join(hinted(product_categories(spark, sf_dir)), "product_id", "left")
-    items = named.groupBy("order_id", "order_item_id").agg(first, F.collect_set("category").alias("categories"))
+    first = F.min(F.when(F.col("cents").isNotNull(), F.struct("ingest_id", "cents")))["cents"].alias("cents")
+    named = skew.lookup(rows.withColumn("cents", amount).drop("price", "freight_value"), product_categories(spark, sf_dir), "product_id", ["order_id", "order_item_id"]).drop("product_id")
+    heavy, salts = skew.heavy_keys(rows, "order_id"), skew.salt_count(rows)
+    placed = skew.salted_left(named, "order_id", ["order_item_id"], heavy, salts).repartition("order_id", "_salt")
+    items = placed.groupBy("order_id", "_salt", "order_item_id").agg(first, F.sort_array(F.collect_set("category")).alias("categories"))
 
     orders = table(spark, sf_dir, ORDERS).where("customer_id IS NOT NULL").select("order_id", "customer_id")
     customers = table(spark, sf_dir, CUSTOMERS).where("customer_state IS NOT NULL").select("customer_id", "customer_state")
     states = customers.groupBy("customer_id").agg(F.collect_set("customer_state").alias("states"))
     reached = skew.salted_join(orders.distinct(), states, "customer_id", ["order_id"], "inner", skew.heavy_keys(orders, "customer_id"))
-    order_states = reached.groupBy("order_id").agg(F.array_distinct(F.flatten(F.collect_set("states"))).alias("states"))
-    whole = skew.salted_join(items, order_states, "order_id", ["order_item_id"], "left", skew.heavy_keys(rows, "order_id"))
-
-    def keys(field: str, column: str):
-        found = F.when(F.size(column) > 0, F.concat(F.array(F.lit(ALL)), F.col(column)))
-        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda k: F.struct(F.lit(field).alias("key_field"), k.alias("key_value")))
-
-    each = whole.withColumn("key", F.explode(F.concat(keys("customer_state", "states"), keys("product_category_name_english", "categories"))))
-    each = each.select("order_id", "order_item_id", "key.*", F.concat("key.key_field", F.lit("\x00"), "key.key_value").alias("_key"), F.coalesce("first.cents", F.lit(0)).alias("cents"))
-    # the heavy keys: those of the two dimension columns that lead to the items, and the two totals
-    heavy = [f"customer_state\x00{k}" for k in [*skew.heavy_keys(customers, "customer_state"), ALL]]
-    heavy += [f"product_category_name_english\x00{k}" for k in [*skew.heavy_keys(named.select("category"), "category"), ALL]]
-    totals = skew.salted_aggregate(each, "_key", {"n_items": ("count", "order_item_id"), "cents": ("sum", "cents")}, ["order_id", "order_item_id"], heavy=heavy)
-    parts = F.split("_key", "\x00", 2)
-    totals = totals.select(parts[0].alias("key_field"), parts[1].alias("key_value"), "n_items", (F.col("cents") / 100).alias("revenue"))
-    field = totals.where(F.col("key_value") == ALL).select("key_field", F.col("n_items").alias("n_field"))
-    return totals.where(F.col("key_value") != ALL).join(F.broadcast(field), "key_field")  # two rows
+    order_states = reached.groupBy("order_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("states")))).alias("states"))
+    whole = items.join(skew.salted_right(order_states, "order_id", heavy, salts), ["order_id", "_salt"], "left").drop("_salt")
+
+    keys = F.struct(F.coalesce("states", F.array().cast("array<string>")).alias("states"), "categories").alias("_keys")
+    parts = skew.partials(whole.select(keys, "order_id", "order_item_id", "cents"), "_keys", _MEASURES, ["order_id", "order_item_id"], heavy=skew.EVERY)
+
+    def of(field: str, column: str):  # the first key of an item stands for the item in the count of its field
+        return F.transform(F.col(column), lambda k, i: F.struct(F.lit(field).alias("key_field"), k.alias("key_value"), (i == 0).alias("first")))
+
+    each = parts.withColumn("key", F.explode(F.concat(of("customer_state", "_keys.states"), of("product_category_name_english", "_keys.categories"))))
+    each = each.select("key.*", "_p_n_items", "_p_cents", F.when(F.col("key.first"), F.col("_p_n_items")).otherwise(0).alias("_p_n_first"))
+    totals = skew.merged(each, ["key_field", "key_value"], {**_MEASURES, "n_first": ("count", "")})
+    totals = cut(totals.select("key_field", "key_value", "n_items", (F.col("cents") / 100).alias("revenue"), "n_first"))
+    return totals.drop("n_first").join(F.broadcast(totals.groupBy("key_field").agg(F.sum("n_first").alias("n_field"))), "key_field")  # two rows
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast: the bound every broadcast() of this package is checked against.
-BROADCAST_ROWS = 200_000
+#: Rows, and characters of all values together, of a side that may be broadcast: the bounds every broadcast() of this package is checked against.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64_000_000
 
 
 def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> SparkSession:
@@ -23,6 +23,7 @@ def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
@@ -55,13 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no further than one row beyond the bound."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
+    """Whether df has at most so many rows and characters; reads no further than one row beyond the bound."""
+    size = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size.cast("bigint")).alias("size")).first()
+    return found["n"] <= rows and (found["size"] or 0) <= chars
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its size is within the bound, else as it is (Spark then shuffles)."""
+    """df with a broadcast hint if its size is within the bounds, else as it is (Spark then shuffles): only for sides that meet few rows or no heavy keys."""
     return F.broadcast(df) if small(df, rows) else df
 
 
