@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels, pvalues
-from tidemark.operators import causal, discovery, graph, periods, segments, tests
+from tidemark.operators import causal, discovery, graph, periods, segments, significance
 
 FACT = "order_id string, quarter string, month string, day date, customer_state string, customer_city string, product_category_name_english string, seller_state string, price double, freight_value double, review_score double, revenue double"
 
@@ -93,7 +93,7 @@ def test_two_samples(spark):
     rng = random.Random(4)
     groups = {"p": ([rng.gauss(0, 1) for _ in range(40)], [rng.gauss(1, 2) for _ in range(25)]), "ties": ([float(rng.randrange(4)) for _ in range(30)], [float(rng.randrange(5)) for _ in range(30)]), "same": ([1.0] * 9, [1.0] * 9), "few": ([1.0, 2.0], [3.0] * 20)}
     rows = [(g, s, x) for g, ab in groups.items() for s in (0, 1) for x in ab[s]] + [("p", 0, None), ("p", 1, math.nan), ("p", None, 5.0)]
-    got = {r.g: r for r in tests.two_samples(spark.createDataFrame(rows, "g string, side int, x double"), ["g"], F.col("side"), "x").collect()}
+    got = {r.g: r for r in significance.two_samples(spark.createDataFrame(rows, "g string, side int, x double"), ["g"], F.col("side"), "x").collect()}
     assert set(got) == {"p", "ties", "same"}
     for g in ("p", "ties"):
         a, b = map(np.array, groups[g])
@@ -114,6 +114,23 @@ def test_exact_rank_sum_by_enumeration(spark):
     assert kernels.exact_rank_sum(u, 3, 4) == pytest.approx(want)
 
 
+def test_exact_rank_sum_in_closed_form_counts_all_arrangements():
+    for small, large in ((1, 1), (1, 9), (2, 5), (3, 4), (3, 11), (4, 6), (5, 7), (8, 9)):
+        ways = np.zeros(small * large + 1, dtype="int64")
+        table = {(0, n): {0: 1} for n in range(large + 1)} | {(m, 0): {0: 1} for m in range(small + 1)}
+        for m in range(1, small + 1):
+            for n in range(1, large + 1):
+                table[m, n] = dict(table[m, n - 1])
+                for u, k in table[m - 1, n].items():
+                    table[m, n][u + n] = table[m, n].get(u + n, 0) + k
+        for u, k in table[small, large].items():
+            ways[u] = k
+        upto = np.cumsum(ways)
+        assert [kernels._arrangements_up_to(u, small, large) for u in range(small * large + 1)] == upto.tolist()
+        assert kernels.exact_rank_sum(small * large, small, large) == pytest.approx(min(1, 2 / math.comb(small + large, small)))
+    assert 0.99 < kernels.exact_rank_sum(4e9 + 1, 8, 10**9) <= 1 and kernels.exact_rank_sum(0, 8, 10**9) < 1e-60
+
+
 def test_p_values(spark):
     df = spark.createDataFrame([(2.0, 10.0, 40, 100), (0.0, 5.0, 50, 100), (20.0, 1e5, 0, 10), (None, 3.0, 0, 0)], "t double, df double, k bigint, n bigint")
     got = df.select(pvalues.t_two_sided(F.col("t"), F.col("df")), pvalues.binomial_half(F.col("k"), F.col("n")), pvalues.normal_two_sided(F.col("t"))).collect()
@@ -130,13 +147,13 @@ def test_correlations(spark):
     x = [float(rng.randrange(20)) for _ in range(300)]
     y = [v * v + rng.gauss(0, 20) for v in x]
     df = spark.createDataFrame([*zip(x, y), (None, 1.0), (1.0, math.nan)], "x double, y double")
-    got = tests.correlations(df, ["x", "y"]).first()
+    got = significance.correlations(df, ["x", "y"]).first()
     s = pd.DataFrame({"x": x, "y": y})
     assert got.n == 300 and got.pearson == pytest.approx(s.corr().loc["x", "y"]) and got.spearman == pytest.approx(s.rank().corr().loc["x", "y"])
     assert got.r == max(got.pearson, got.spearman) and got.p < 1e-10
-    assert tests.correlations(df, ["x", "y"], min_rows=301).count() == 0
+    assert significance.correlations(df, ["x", "y"], min_rows=301).count() == 0
     constant = df.withColumn("x", F.lit(1.0))
-    assert tests.correlations(constant, ["x", "y"]).first().r is None
+    assert significance.correlations(constant, ["x", "y"]).first().r is None
 
 
 def test_geo_lift(spark):

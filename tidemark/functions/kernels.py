@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 
@@ -38,19 +40,42 @@ def normal_two_sided(z: float) -> float:
     return min(1.0, math.erfc(abs(z) / math.sqrt(2)))
 
 
+@lru_cache(maxsize=32)
+def _sums_up_to(parts: int) -> tuple[int, list[int]]:
+    """(period, counts): the generating function 1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^parts)) as counts(q) / (1 - q^period)^(parts + 1)."""
+    period = math.lcm(*range(1, parts + 1))
+    counts = [1]
+    for step in (1, *range(1, parts + 1)):
+        grown = [0] * (len(counts) + period - step)
+        for shift in range(0, period, step):
+            for k, c in enumerate(counts):
+                grown[k + shift] += c
+        counts = grown
+    return period, counts
+
+
+def _arrangements_up_to(u: int, small: int, large: int) -> int:
+    """How many of the C(small + large, small) arrangements without ties have a Mann-Whitney statistic of at most u.
+
+    They are counted by the Gaussian binomial coefficient: the product of (1 - q^(large + k)) / (1 - q^k) for k up to small. Its numerator has 2^small terms and the
+    rest is known in closed form, so the count takes the same few steps whatever the size of the larger side.
+    """
+    period, counts = _sums_up_to(small)
+    total = 0
+    for chosen in range(1 << small):
+        k = u - sum(large + i + 1 for i in range(small) if chosen >> i & 1)
+        if k >= 0:
+            ways = sum(counts[r] * math.comb((k - r) // period + small, small) for r in range(k % period, min(k + 1, len(counts)), period))
+            total += -ways if chosen.bit_count() % 2 else ways
+    return total
+
+
 def exact_rank_sum(u: float, na: int, nb: int) -> float:
-    """Exact two-sided p of the Mann-Whitney statistic without ties: the share of arrangements as far out."""
+    """Exact two-sided p of the Mann-Whitney statistic without ties: the share of arrangements as far out. Meant for a smaller side of few values."""
     small, large = sorted((na, nb))
-    ways = np.zeros(na * nb + 1)
-    ways[0] = 1
-    for k in range(1, small + 1):  # Gaussian binomial: times (1 - q^(large + k)) / (1 - q^k)
-        step = ways.copy()
-        step[large + k :] -= ways[: len(ways) - large - k]
-        for r in range(k):
-            step[r::k] = np.cumsum(step[r::k])
-        ways = step
-    upper = max(u, na * nb - u)
-    return float(min(1.0, 2 * ways[math.ceil(upper - 1e-9) :].sum() / ways.sum()))
+    lower = math.floor(min(u, na * nb - u) + 1e-9)
+    ways, whole = _arrangements_up_to(lower, small, large), math.comb(small + large, small)
+    return float(min(1, Fraction(2 * ways, whole)))
 
 
 def mean_difference_interval(a: np.ndarray, b: np.ndarray, draws: int = 500, seed: int = 42) -> tuple[float, float]:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..schema import CANONICAL, FactSchema
 from ..session import hinted
+from .skew import heavy_keys, lookup, salt_count, salted_left, salted_right
 
 
 def quarter(ts: Column) -> Column:
@@ -61,23 +62,28 @@ def build_fact(tables: dict[str, DataFrame], schema: FactSchema = FactSchema(),
         items = items.withColumn("freight_value", F.lit(0.0))
     own = ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value", "review_score")
     extra = [c for c in items.columns if c in own]
-    fact = items.select(*extra).join(orders.select("order_id", "customer_id", schema.status_col, schema.time_col), "order_id", "left")
-    if "review_score" not in extra:  # here, while the rows still lie by order
+    # orders and reviews meet the items where these lie by order; what has no key, or a heavy one, is spread
+    heavy, salts = heavy_keys(items, "order_id"), salt_count(items)
+    order_rows = orders.select("order_id", "customer_id", schema.status_col, schema.time_col)
+    fact = salted_left(items.select(*extra), "order_id", ["order_item_id", "product_id"], heavy, salts).join(salted_right(order_rows, "order_id", heavy, salts), ["order_id", "_salt"], "left")
+    if "review_score" not in extra:
         if CANONICAL["reviews"] in tables:
-            fact = fact.join(first_review(tables[CANONICAL["reviews"]]), "order_id", "left")
+            fact = fact.join(salted_right(first_review(tables[CANONICAL["reviews"]]), "order_id", heavy, salts), ["order_id", "_salt"], "left")
         else:
             fact = fact.withColumn("review_score", F.lit(None).cast("double"))
     customers = tables[CANONICAL["customers"]]
-    fact = fact.join(customers.select(*[c for c in ("customer_id", "customer_state", "customer_city") if c in customers.columns]), "customer_id", "left")
+    fact = fact.drop("_salt")
+    own = customers.select(*[c for c in ("customer_id", "customer_state", "customer_city") if c in customers.columns])
+    fact = lookup(fact, own, "customer_id", ["order_id", "order_item_id"], found_in=orders)
     products = tables[CANONICAL["products"]].select("product_id", "product_category_name")
     if CANONICAL["translations"] in tables:
         names = tables[CANONICAL["translations"]].select("product_category_name", "product_category_name_english")
         products = products.join(hinted(names), "product_category_name", "left")
     else:
         products = products.withColumn("product_category_name_english", F.col("product_category_name"))
-    fact = fact.join(hinted(products), "product_id", "left")
+    fact = lookup(fact, products, "product_id", ["order_id", "order_item_id"], found_in=items)
     if CANONICAL["sellers"] in tables:
-        fact = fact.join(hinted(tables[CANONICAL["sellers"]].select("seller_id", "seller_state")), "seller_id", "left")
+        fact = lookup(fact, tables[CANONICAL["sellers"]].select("seller_id", "seller_state"), "seller_id", ["order_id", "order_item_id"], found_in=items)
     else:
         fact = fact.withColumn("seller_state", F.lit(None).cast("string"))
     kept = F.lit(True)

@@ -10,7 +10,7 @@ from ..schema import FactSchema
 from .cooccurrence import co_occurrence
 from .periods import money
 
-#: Edges that the driver partitions at most: the strongest.
+#: Edges that are partitioned by default, the strongest: a report over the top pairs, as in the reference. None takes all.
 TOP_EDGES = 800
 
 
@@ -47,11 +47,12 @@ def order_categories(fact: DataFrame, schema: FactSchema = FactSchema()) -> Data
     return rows.groupBy(schema.order_col).agg(F.sort_array(F.collect_set(schema.category_col)).alias("categories"))
 
 
-def communities(pairs: DataFrame, top_edges: int = TOP_EDGES) -> DataFrame:
+def communities(pairs: DataFrame, top_edges: int | None = TOP_EDGES) -> DataFrame:
     """(community, item): a partition of the graph of the strongest pairs, weighted by lift - 1 where that is above 0.
 
-    The graph is cut to ``top_edges`` by lift (then by name): the same bound as its size on the driver. Communities are numbered by size, then name.
+    The report is on the ``top_edges`` pairs of highest lift (then by name); None takes all pairs, which the driver must hold. Communities are numbered by size, then name.
     """
-    best = pairs.orderBy(F.desc("lift"), "item_a", "item_b").limit(top_edges).select("item_a", "item_b", (F.col("lift") - 1).alias("w")).collect()
+    best = pairs.orderBy(F.desc("lift"), "item_a", "item_b")
+    best = (best if top_edges is None else best.limit(top_edges)).select("item_a", "item_b", (F.col("lift") - 1).alias("w")).collect()
     found = kernels.communities([(r["item_a"], r["item_b"], r["w"]) for r in best])
     return pairs.sparkSession.createDataFrame([(i, x) for i, c in enumerate(found) for x in c], "community int, item string")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FactSchema
-from ..session import held
+from ..session import cut
 from .periods import daily, money
-from .tests import two_samples, volume_share
+from .significance import two_samples, volume_share
 
 _STEP = "depth int, dimension string, entity string, base_value double, comp_value double, delta_pct double, contribution_pct double, n bigint"
 
@@ -30,20 +30,22 @@ def drill_down(fact: DataFrame, period: str, prev_period: str, metric: str = "re
 
     At each depth the value with the largest absolute change is taken (the first in order on a tie) and only its rows go on. contribution_pct is its change over the change of the
     whole (0 if that is 0), n the different orders of the later period. Null values of a dimension are no values. Ends early when the earlier period has nothing left.
-    One aggregate over the two periods' rows per depth; what comes to the driver is one row each.
+    The two periods' rows are reduced to one row per order and combination of values once; each depth is one aggregate over these, and one row comes to the driver.
     """
-    rows = held(fact.withColumn("_side", side(period, prev_period)).where("_side IS NOT NULL").select("_side", *schema.dimensions[:max_depth], schema.order_col, schema.revenue_col))
+    dims = list(schema.dimensions[:max_depth])
+    rows = fact.withColumn("_side", side(period, prev_period)).where("_side IS NOT NULL")
+    rows = cut(rows.groupBy("_side", *dims, schema.order_col).agg(F.sum(F.col(schema.revenue_col).cast("decimal(20,4)")).alias(schema.revenue_col)))
     whole = rows.agg(*_values(metric, schema)).first()
     change, steps = whole["comp"] - whole["base"], []
-    for depth, dim in enumerate(schema.dimensions[:max_depth], start=1):
-        groups = rows.where(F.col(dim).isNotNull()).groupBy(dim).agg(*_values(metric, schema), F.count_distinct(F.when(F.col("_side") == 1, F.col(schema.order_col))).alias("n"))
-        total = groups.agg(F.sum("base").alias("b")).first()["b"]
-        if not total:
+    for depth, dim in enumerate(dims, start=1):
+        groups = rows.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("entity")).agg(*_values(metric, schema), F.count_distinct(F.when(F.col("_side") == 1, F.col(schema.order_col))).alias("n"))
+        moved = F.struct((-F.abs(F.col("comp") - F.col("base"))).alias("less"), "entity", "base", "comp", "n")
+        found = groups.agg(F.sum("base").alias("total"), F.min(moved).alias("best")).first()
+        if not found["total"]:
             break
-        best = groups.orderBy(F.abs(F.col("comp") - F.col("base")).desc(), F.col(dim).asc()).first()
-        base, comp = best["base"], best["comp"]
-        steps.append((depth, dim, str(best[dim]), base, comp, (comp - base) / base if base else 0.0, (comp - base) / change if change else 0.0, best["n"]))
-        rows = rows.where(F.col(dim) == F.lit(best[dim]))
+        best, base, comp = found["best"], found["best"]["base"], found["best"]["comp"]
+        steps.append((depth, dim, str(best["entity"]), base, comp, (comp - base) / base if base else 0.0, (comp - base) / change if change else 0.0, best["n"]))
+        rows = rows.where(F.col(dim) == F.lit(best["entity"]))
     return fact.sparkSession.createDataFrame(steps, _STEP)
 
 

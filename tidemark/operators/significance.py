@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from ..functions import kernels, pvalues
 from ..session import cut, ship
 from .profile import _size_bin
-from .skew import heavy_keys, salted_join
+from .skew import lookup
 
-#: The rank-sum test is exact if the smaller side has at most so many values, none tied, and the product of the sizes is at most EXACT_CELLS.
-EXACT_ROWS, EXACT_CELLS = 8, 400_000
+#: The rank-sum test is exact if the smaller side has at most so many values, none tied: a rule of the reference's statistics, for any size of the other side.
+EXACT_ROWS = 8
 
 
 def average_ranks(counted: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
@@ -78,7 +78,7 @@ def two_samples(df: DataFrame, keys: Sequence[str], side: Column, value: str, mi
     # z below 0 (the continuity correction at the very middle) has p 1
     p_u = F.when(sd > 0, F.least(F.lit(1.0), pvalues.erfc(z / F.sqrt(F.lit(2.0))))).otherwise(F.lit(1.0))
     found = both.withColumns({"t": t, "df": df_, "d": d, "u": u, "r": 1 - 2 * u / (na * nb), "_p": p_u})
-    exact = (F.least("n_a", "n_b") <= EXACT_ROWS) & (F.col("_ties") == 0) & (F.col("n_a") * F.col("n_b") <= EXACT_CELLS)
+    exact = (F.least("n_a", "n_b") <= EXACT_ROWS) & (F.col("_ties") == 0)
     found = found.withColumn("p_t", pvalues.t_two_sided(F.col("t"), F.col("df"))).withColumn("p_u", _exact(F.col("_p"), exact, F.col("u"), F.col("n_a"), F.col("n_b")))
     return found.select(*keys, "n_a", "n_b", "mean_a", "mean_b", "t", "df", "p_t", "d", "u", "p_u", "r")
 
@@ -90,7 +90,7 @@ def _exact(p, exact, u, na, nb):  # one row per group
     return pd.Series([kernels.exact_rank_sum(x, int(m), int(n)) if e else q for q, e, x, m, n in zip(p, exact, u, na, nb)])
 
 
-def _corr(x: str, y: str) -> Column:
+def _corr(x: Column, y: Column) -> Column:
     """Pearson's correlation, null without variance (the built-in one fails there)."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
@@ -104,23 +104,31 @@ def correlations(df: DataFrame, columns: Sequence[str], min_rows: int = 100) ->
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         raise ValueError("at least two columns")
-    cells = F.explode(F.array(*(F.struct(F.lit(f"{a}\x00{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs))).alias("c")
+    names = list(dict.fromkeys(columns))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + F.lit(0.0))  # noqa: E731  (-0.0 is 0.0)
     # the columns alone are written out: what df is made of is then computed once, not for each pass below
-    rows = cut(df.select(*dict.fromkeys(columns))).select(cells).select("c.*").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    # -0.0 is 0.0, also where values meet as text
-    rows = rows.select("pair", (F.col("x") + F.lit(0.0)).alias("x"), (F.col("y") + F.lit(0.0)).alias("y"))
-    plain = rows.groupBy("pair").agg(F.count("*").alias("n"), _corr("x", "y").alias("pearson"))
-    # ranks of the distinct values, then back to the rows; a value that very many rows have is split over many tasks
-    ranked = rows
-    for v in "xy":
-        key = F.concat("pair", F.lit("\x00"), F.col(v).cast("string"))
-        own = average_ranks(rows.groupBy("pair", v).agg(F.count("*").alias("n")), ["pair"], v, "n").select(key.alias("_key"), F.col("rank").alias(f"r{v}"))
-        heavy = heavy_keys(rows.select(key.alias("_key")), "_key")
-        ranked = salted_join(ranked.withColumn("_key", key), own, "_key", ["x", "y"], "inner", heavy).drop("_key")
-    by_rank = ranked.groupBy("pair").agg(_corr("rx", "ry").alias("spearman"))
-    ends = F.split("pair", "\x00")
-    found = plain.where(F.col("n") >= min_rows).join(F.broadcast(by_rank), "pair")  # one row per pair of columns
-    found = found.select(ends[0].alias("a"), ends[1].alias("b"), "n", "pearson", "spearman")
+    rows = cut(df.select(*(number(c).alias(f"_v{i}") for i, c in enumerate(names))))
+    at = {c: i for i, c in enumerate(names)}
+    within = {(i, j): F.col(f"_v{i}").isNotNull() & F.col(f"_v{j}").isNotNull() for i, j in ((at[a], at[b]) for a, b in pairs)}
+    # every value of a column is counted once for each pair it takes part in, and ranked within each
+    cells = [F.struct(F.lit(i).alias("col"), F.col(f"_v{i}").alias("x"), F.array(*(both.cast("bigint") for both in within.values())).alias("in")) for i in range(len(names))]
+    counts = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x IS NOT NULL").groupBy("col", "x")
+    counts = counts.agg(F.array(*(F.sum(F.col("in")[k]) for k in range(len(within)))).alias("n"))
+    takes_part = F.array(*(F.struct(F.lit(k).alias("pair"), F.array(F.lit(i), F.lit(j)).alias("cols")) for k, (i, j) in enumerate(within)))
+    each = counts.withColumn("p", F.explode(F.filter(takes_part, lambda p: F.array_contains(p["cols"], F.col("col")))))
+    each = each.select("col", "x", "p.pair", F.get("n", F.col("p.pair")).alias("n")).where("n > 0")
+    ranks = average_ranks(each, ["col", "pair"], "x", "n")
+    ranks = cut(ranks.groupBy("col", "x").agg(*(F.max(F.when(F.col("pair") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(within)))))
+    # back to the rows, once for each column; a value that very many rows have is split over many tasks
+    for i in range(len(names)):
+        mine = [k for k, ends in enumerate(within) if i in ends]
+        own = ranks.where(F.col("col") == i).select(F.col("x").alias(f"_v{i}"), *(F.col(f"r{k}").alias(f"_r{i}_{k}") for k in mine))
+        rows = lookup(rows, own, f"_v{i}", [f"_v{j}" for j in range(len(names)) if j != i])
+    figures = []
+    for k, ((i, j), both) in enumerate(within.items()):
+        x, y, rx, ry = (F.when(both, F.col(c)) for c in (f"_v{i}", f"_v{j}", f"_r{i}_{k}", f"_r{j}_{k}"))
+        figures.append(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.count(x).alias("n"), _corr(x, y).alias("pearson"), _corr(rx, ry).alias("spearman")))
+    found = rows.agg(F.array(*figures).alias("f")).select(F.explode("f").alias("f")).select("f.*").where(F.col("n") >= min_rows)
     bounded = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c))))
     found = found.withColumns({"pearson": bounded("pearson"), "spearman": bounded("spearman")})
     found = found.withColumn("r", F.when(F.abs("spearman") > F.abs("pearson"), F.col("spearman")).otherwise(F.col("pearson")))

@@ -135,6 +135,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Sequence[st
     return salted_left(left, key, spread, heavy, salts).join(salted_right(right, key, heavy, salts), [key, "_salt"], how).drop("_salt")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], how: str = "left", heavy: list | None = None) -> DataFrame:
-    """left joined with a right side that has few rows per key: sent to the rows if its size is within the bounds of a broadcast, else by salted_join()."""
-    return left.join(F.broadcast(right), key, how) if small(right) else salted_join(left, right, key, spread, how, heavy)
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str], how: str = "left", found_in: DataFrame | None = None) -> DataFrame:
+    """left joined with a right side that has few rows per key: sent to the rows if its size is within the bounds of a broadcast, else by salted_join().
+
+    ``found_in``: a table with the same key in which the heavy keys are found more cheaply than in left.
+    """
+    if small(right):
+        return left.join(F.broadcast(right), key, how)
+    return salted_join(left, right, key, spread, how, heavy_keys(left if found_in is None else found_in, key))

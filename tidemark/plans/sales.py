@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import causal, discovery, fact, graph, periods, segments, tests
+from ..operators import causal, discovery, fact, graph, periods, segments, significance
 from ..schema import CANONICAL, FactSchema, Settings
+from ..session import cut
 from ..sources.star import star_tables
 from ..sources.tables import as_time, canonical, register, sample_orders, sample_rows
 from . import evidence, ranking
@@ -37,13 +38,17 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
 
 
-# the pair of quarters that the two-period queries look at: the largest change of revenue
-def _pair(f: DataFrame, schema: FactSchema = FactSchema()) -> tuple[str, str]:
-    found = periods.changes(f, "quarter", 0.0, SETTINGS.min_rows, schema).where("metric = 'revenue'")
+def two_quarters(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, str, str]:
+    """The fact table with the columns asked for, and the two quarters that the two-period queries look at: the largest change of revenue.
+
+    The columns are written out once: the quarters and the query itself are read from there.
+    """
+    f = cut(facts(spark, sf_dir).select(*dict.fromkeys(("quarter", "order_id", "revenue", *columns))))
+    found = periods.changes(f, "quarter", 0.0, SETTINGS.min_rows).where("metric = 'revenue'")
     best = found.orderBy(F.abs("delta_pct").desc(), "period").first()
     if best is None:
         raise ValueError("no two quarters with enough rows follow each other")
-    return best["period"], best["prev_period"]
+    return f, best["period"], best["prev_period"]
 
 
 _FACT = """
@@ -178,8 +183,8 @@ s{k} AS (SELECT {k} AS depth, '{dim}' AS dimension, * FROM g{k} ORDER BY abs(com
 
 
 def _drill(spark, sf_dir, metric):
-    f = facts(spark, sf_dir)
-    return rounded(segments.drill_down(f, *_pair(f), metric), 9)
+    f, *pair = two_quarters(spark, sf_dir, *FactSchema().dimensions[:3])
+    return rounded(segments.drill_down(f, *pair, metric), 9)
 
 
 @query(_drill_sql("revenue"))
@@ -199,8 +204,7 @@ def _movers_sql(dim: str) -> str:
 
 
 def _movers(spark, sf_dir, dim):
-    f = facts(spark, sf_dir)
-    period, prev = _pair(f)
+    f, period, prev = two_quarters(spark, sf_dir, dim)
     return segments.movers(f, dim, prev, period)
 
 
@@ -236,8 +240,8 @@ tests AS (SELECT {keys}, n_a, n_b, mean_a, mean_b, (mean_a - mean_b) / sqrt(va /
 
 @query(_FACT + _SIDES + _samples_sql("two", "customer_state", "revenue") + """ SELECT customer_state, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(t, 6) AS t, round(df, 2) AS df, round(d, 6) AS d, u::DOUBLE AS u, round(r, 6) AS r FROM tests""")
 def two_sample_tests_by_state(spark, sf_dir):
-    f = facts(spark, sf_dir).where("customer_state IS NOT NULL")
-    t = tests.two_samples(f, ["customer_state"], segments.side(*_pair(f)), "revenue").drop("p_t", "p_u")
+    f, *pair = two_quarters(spark, sf_dir, "customer_state")
+    t = significance.two_samples(f.where("customer_state IS NOT NULL"), ["customer_state"], segments.side(*pair), "revenue").drop("p_t", "p_u")
     return rounded(t).withColumn("df", F.round("df", 2))
 
 
@@ -246,15 +250,15 @@ long AS (SELECT side, 'orders' AS m, orders::DOUBLE AS x FROM days UNION ALL SEL
 + """ SELECT m || ' | Welch t-test' AS name, round(t, 6) AS statistic, round(d, 6) AS effect_size FROM tests UNION ALL SELECT m || ' | Mann-Whitney U', u::DOUBLE, round(r, 6) FROM tests
 UNION ALL SELECT 'volume share test (binomial)', round(c / (b + c), 6), round((c - b) / b, 6) FROM (SELECT sum(orders) FILTER (WHERE side = 0)::DOUBLE AS b, sum(orders) FILTER (WHERE side = 1)::DOUBLE AS c FROM days) z""")
 def daily_period_statistics(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return rounded(segments.daily_tests(f, *_pair(f)).select("name", "statistic", "effect_size"))
+    f, *pair = two_quarters(spark, sf_dir, "day")
+    return rounded(segments.daily_tests(f, *pair).select("name", "statistic", "effect_size"))
 
 
 @query()
 def daily_period_tests(spark, sf_dir):
     """The same with p-values."""
-    f = facts(spark, sf_dir)
-    return rounded(segments.daily_tests(f, *_pair(f)), 9)
+    f, *pair = two_quarters(spark, sf_dir, "day")
+    return rounded(segments.daily_tests(f, *pair), 9)
 
 
 _PAIRS = (("price", "freight_value"), ("price", "revenue"), ("freight_value", "revenue"))
@@ -264,12 +268,12 @@ _CORRELATION = "\nUNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, count(*) A
 
 @query(f"{_FACT} {_CORRELATION}")
 def correlation_pairs(spark, sf_dir):
-    return rounded(tests.correlations(facts(spark, sf_dir), ["price", "freight_value", "revenue"]).drop("r", "p"))
+    return rounded(significance.correlations(facts(spark, sf_dir), ["price", "freight_value", "revenue"]).drop("r", "p"))
 
 
 @query(f"{_STAR_FACT} {_CORRELATION}")
 def star_correlation_pairs(spark, sf_dir):
-    return rounded(tests.correlations(star_facts(spark, sf_dir), ["price", "freight_value", "revenue"]).drop("r", "p"))
+    return rounded(significance.correlations(star_facts(spark, sf_dir), ["price", "freight_value", "revenue"]).drop("r", "p"))
 
 
 _GEO = f""", cells AS (SELECT customer_state AS state, product_category_name_english AS category, {_MONEY.format('revenue')} AS revenue, count(DISTINCT order_id) AS n_orders FROM fact
@@ -324,11 +328,15 @@ _PANEL = _FACT + _CHANGES + f""", panel AS (SELECT customer_state AS state, prod
   any_value(CASE WHEN quarter = pair.period THEN 1 ELSE 0 END) AS treatment FROM fact, pair WHERE quarter IN (pair.period, pair.prev_period) AND customer_state IS NOT NULL AND product_category_name_english IS NOT NULL GROUP BY ALL HAVING count(price) > 0)"""
 
 
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, *pair = two_quarters(spark, sf_dir, "customer_state", "product_category_name_english", "price", "freight_value", "review_score")
+    return causal.panel(f, *pair)
+
+
 @query(_PANEL + """ SELECT state, category, period, revenue, orders, n_items, round(avg_price, 6) AS avg_price, freight_total, price_total, round(reviews_mean, 6) AS reviews_mean, reviews_count,
   round(freight_total / nullif(price_total, 0), 6) AS freight_ratio, round(reviews_count / n_items, 6) AS review_rate, treatment FROM panel""")
 def causal_panel(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return rounded(causal.panel(f, *_pair(f)))
+    return rounded(_panel(spark, sf_dir))
 
 
 _OLS = ("revenue", "treatment", "n_items", "avg_price")
@@ -336,30 +344,26 @@ _OLS = ("revenue", "treatment", "n_items", "avg_price")
 
 @query(_PANEL + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(sum(({a})::DOUBLE * ({b})::DOUBLE), 0), 0) AS total FROM (SELECT *, 1.0 AS const FROM panel) p" for i, a in enumerate((*_OLS, "const")) for b in (*_OLS, "const")[i:]))
 def ols_sums(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return causal.gram_sums(causal.panel(f, *_pair(f)), list(_OLS)).withColumn("total", F.round("total", 0))
+    return causal.gram_sums(_panel(spark, sf_dir), list(_OLS)).withColumn("total", F.round("total", 0))
 
 
 @query()
 def causal_verdict(spark, sf_dir):
     """Least squares with a bootstrap interval: numeric work on the collected panel."""
-    f = facts(spark, sf_dir)
-    v = causal.test_change(causal.panel(f, *_pair(f)), SETTINGS)
+    v = causal.test_change(_panel(spark, sf_dir), SETTINGS)
     low, high = v.interval or (None, None)
     return spark.createDataFrame([(v.verdict, v.effect, v.p_value, low, high)], "verdict string, effect double, p_value double, low double, high double")
 
 
 @query()
 def panel_links(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return spark.createDataFrame(causal.linked(causal.panel(f, *_pair(f)), SETTINGS), "a string, b string")
+    return spark.createDataFrame(causal.linked(_panel(spark, sf_dir), SETTINGS), "a string, b string")
 
 
 @query()
 def bootstrap_interval(spark, sf_dir):
     """Interval of the difference of mean daily revenue between two quarters: at most 92 days each come to the driver."""
-    f = facts(spark, sf_dir)
-    period, prev = _pair(f)
+    f, period, prev = two_quarters(spark, sf_dir, "day")
     rows = periods.daily(f.where(F.col("quarter").isin(period, prev))).collect()
     import numpy as np
 
