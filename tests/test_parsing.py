@@ -107,3 +107,17 @@ def test_empty_and_values_out_of_range(spark):
     row = parsing.typed_rows(parsing.parse_records(df, "raw"), ["line_id"]).first()
     assert row.order_item_id is None and row.price is None
     assert parsing.rejected(parsing.parse_records(df.limit(0), "raw"), ["line_id"]).count() == 0
+
+
+def test_reader_agrees_with_reclassification(spark, monkeypatch):
+    """What the reader takes has the same values when it is taken apart instead."""
+    sound = [r for r in CASES if reason_of(r) is None]
+    df = spark.createDataFrame(list(enumerate(sound)), "line_id bigint, raw string")
+    rows = {r.line_id: r for r in parsing.typed_rows(parsing.parse_records(df, "raw"), ["line_id"]).collect()}
+    monkeypatch.setattr(parsing, "READ_FIELDS", 0)
+    assert rows == {r.line_id: r for r in parsing.typed_rows(parsing.parse_records(df, "raw"), ["line_id"]).collect()} and len(rows) == len(sound)
+
+
+def test_rejected_records_keep_their_text(spark):
+    df = spark.createDataFrame([(1, line(note='a"b'), "x"), (2, line(), "y")], "line_id bigint, raw string, reason string")
+    assert [tuple(r) for r in parsing.rejected(parsing.parse_records(df, "raw"), ["line_id"], "raw").collect()] == [(1, "quoting", line(note='a"b'))]

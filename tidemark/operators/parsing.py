@@ -1,8 +1,8 @@
 """Rows that fail to parse: a permissive reader for delimited records that keeps every record and says what is wrong.
 
-A record is first read permissively under an explicit schema that retains the corrupt raw text. Plain records (no quote,
-no line break) that fit are taken from there. All others are reclassified: first their quoting is checked, then the
-number of fields, then each value against its form.
+Every record is first read permissively under an explicit schema of typed columns, which keeps the raw text of what does not fit as corrupt. A
+record that was read counts if its text also has the strict form of the schema (the reader casts more freely and forgives quotes). All
+others are reclassified: first their quoting is checked, then the number of fields, then each value against its form and cast.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Stand-ins while a record is taken apart; where they occur in a record they are escaped.
 _MARK, _ESCAPE = "\x01", "\x02"
+#: Fields that the reader has room for. A record with more delimiters is not given to it but taken apart as corrupt ones are: the result is the same.
+READ_FIELDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,13 @@ class Field:
     kind: str = "string"
     nullable: bool = False
 
+    @property
+    def strict(self) -> str:
+        """The form of the value as it stands in a record without quotes, line breaks and spaces around it."""
+        if self.form is None:
+            return r'[^,"\r\n\x00]*'
+        return f"(?:{self.form})?" if self.nullable else f"(?:{self.form})"
+
     def valid(self, value: Column) -> Column:
         if self.form is None:
             return F.lit(True)
@@ -52,77 +61,78 @@ ORDER_ITEM = (
 )
 
 
-def _taken_apart(raw: Column) -> tuple[Column, Column]:
-    """Whether the quoting of a record holds, and its fields (quotes removed). Only meant for records that are not null.
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once per row: a generator, which the optimizer does not copy into what reads the column."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _taken_apart(df: DataFrame, raw: Column) -> DataFrame:
+    """df with ``_whole``, whether the quoting of a record holds, and ``_fields``, its fields without the quotes (null if it does not); both null where raw is null.
 
     Split at the quotes, a sound record alternates between text outside and inside of quotes. Text between two quoted
     stretches is either nothing (a doubled quote) or runs from a delimiter to a delimiter; the first and the last such
     text may be empty or must touch the quote with a delimiter.
     """
     safe = F.replace(F.replace(raw, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
-    parts = F.split(safe, '"')
-    last = F.size(parts) - 1
+    df = _settled(df, "_parts", F.split(safe, '"'))
+    df = _settled(df, "_last", F.size("_parts") - 1)  # columns of their own, as the functions below read them for every part
+    parts, last = F.col("_parts"), F.col("_last")
 
     def sound(x: Column, i: Column) -> Column:
         starts = (i == 0) | (x == "") | x.startswith(",")
         ends = (i == last) | (x == "") | x.endswith(",")
         return (i % 2 == 1) | (starts & ends)
 
-    whole = (last % 2 == 0) & F.forall(F.transform(parts, sound), lambda x: x)
+    df = _settled(df, "_whole", (last % 2 == 0) & F.forall(F.transform(parts, sound), lambda x: x))
     # an empty text between two quoted stretches is a doubled quote and leaves one; other quotes go
     marked = F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(x, F.lit(","), F.lit(_MARK))))
     fields = F.split(F.array_join(marked, ""), _MARK)
     back = F.transform(fields, lambda x: F.replace(F.replace(x, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)))
-    return whole, back
-
-
-def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once per row: a generator, which the optimizer does not copy into what reads the column."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return _settled(df, "_fields", F.when(F.col("_whole"), back)).drop("_parts", "_last")
 
 
 def parse_records(df: DataFrame, raw: str, fields: Sequence[Field] = ORDER_ITEM) -> DataFrame:
-    """All columns of df and ``_reason`` (null: the record is sound), ``_fields`` (its values as text, if it could be split).
+    """All columns of df and ``_reason`` (null: the record is sound), ``_row`` (its typed values; null if it is not) and ``_corrupt`` (its raw text; null if it is).
 
     Reasons, the first that applies: ``quoting`` (a quote that does not enclose a whole field, or is never closed),
     ``column_count`` (not as many fields as the schema), ``invalid_value`` (after removing spaces around it, a value has
-    not the form of its column). A null record has no fields: column_count; an empty one has one. Repeated records are
+    not the form of its column). Values lose the spaces around them, free text does not; an empty value of a nullable column is null; digits beyond
+    the range of their type give null. A null record has no fields: column_count; an empty one has one. Repeated records are
     records. Texts of any length are read whole. The work is per row: no shuffle.
     """
-    schema = ", ".join([*(f"`{f.name}` string" for f in fields), "_corrupt string"])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1", "maxColumns": "20480"}
-    # only records in one line without quotes are left to the reader: with either, its leniency would decide
-    plain = ~F.col(raw).rlike(r'["\r\n\x00]') & (F.col(raw) != "") & (F.length(F.regexp_replace(raw, "[^,]", "")) < 20000)
-    read = _settled(df, "_read", F.when(plain, F.from_csv(F.col(raw), schema, options)))
-    taken = F.col("_read").isNotNull() & F.col("_read._corrupt").isNull()
-    whole, split = _taken_apart(F.col(raw))
-    own = F.array(*(F.coalesce(F.col(f"_read.{f.name}"), F.lit("")) for f in fields))
-    read = _settled(read, "_whole", F.when(taken | F.col(raw).isNull(), True).otherwise(whole))
-    read = _settled(read, "_fields", F.when(taken, own).when(F.col("_whole") & F.col(raw).isNotNull(), split))
+    schema = ", ".join([*(f"`{f.name}` {f.kind}" for f in fields), "_corrupt string"])
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+        "maxCharsPerColumn": "-1", "maxColumns": str(READ_FIELDS + 1),
+    }
+    readable = F.length(F.translate(F.col(raw), '"', "")) - F.length(F.translate(F.col(raw), '",', "")) < READ_FIELDS
+    read = _settled(df, "_read", F.when(readable, F.from_csv(F.col(raw), schema, options)))
+    strict = F.col(raw).rlike(r"\A" + ",".join(f.strict for f in fields) + r"\z")
+    taken = F.col("_read").isNotNull() & F.col("_read._corrupt").isNull() & strict
+    read = _settled(read, "_taken", F.coalesce(taken, F.lit(False)))
+    read = _taken_apart(read, F.when(~F.col("_taken"), F.col(raw)))
     fits = F.size("_fields") == len(fields)
-    good = F.lit(True)
-    for i, field in enumerate(fields):
-        good = good & field.valid(F.trim(F.get("_fields", F.lit(i))))
-    reason = F.when(~F.col("_whole"), "quoting").when(~F.coalesce(fits, F.lit(False)), "column_count").when(~F.coalesce(good, F.lit(False)), "invalid_value")
-    return _settled(read.drop("_read"), "_reason", reason).drop("_whole")
-
-
-def typed_rows(parsed: DataFrame, keep: Sequence[str], fields: Sequence[Field] = ORDER_ITEM) -> DataFrame:
-    """The sound records of parse_records() as typed columns after the columns ``keep``.
-
-    Values lose the spaces around them, free text does not; an empty value of a nullable column is null; digits beyond
-    the range of their type give null.
-    """
-    good = parsed.where(F.col("_reason").isNull())
-    columns = []
+    good, own, typed = F.lit(True), [], []
     for i, field in enumerate(fields):
         value = F.get("_fields", F.lit(i))
         if field.form is not None:
             value = F.trim(value)
-        columns.append((value if field.kind == "string" else value.try_cast(field.kind)).alias(field.name))
-    return good.select(*keep, *columns)
+        good = good & field.valid(value)
+        own.append((value if field.kind == "string" else value.try_cast(field.kind)).alias(field.name))
+        kept = F.col(f"_read.{field.name}")
+        typed.append((F.coalesce(kept, F.lit("")) if field.kind == "string" else kept).alias(field.name))
+    reason = F.when(F.col("_taken"), F.lit(None)).when(~F.col("_whole"), "quoting").when(~F.coalesce(fits, F.lit(False)), "column_count").when(~F.coalesce(good, F.lit(False)), "invalid_value")
+    found = _settled(read, "_reason", reason)
+    row = F.when(F.col("_taken"), F.struct(*typed)).when(F.col("_reason").isNull(), F.struct(*own))
+    return found.withColumns({"_row": row, "_corrupt": F.when(F.col("_reason").isNotNull(), F.col(raw))}).drop("_read", "_taken", "_whole", "_fields")
+
+
+def typed_rows(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The sound records of parse_records() as typed columns after the columns ``keep``."""
+    return parsed.where(F.col("_reason").isNull()).select(*keep, "_row.*")
 
 
-def rejected(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep`` and the reason of each record that is set aside."""
-    return parsed.where(F.col("_reason").isNotNull()).select(*keep, F.col("_reason").alias("reason"))
+def rejected(parsed: DataFrame, keep: Sequence[str], raw: str | None = None) -> DataFrame:
+    """The columns ``keep`` and the reason of each record that is set aside, and with ``raw`` its text under that name."""
+    found = parsed.where(F.col("_reason").isNotNull())
+    return found.select(*keep, F.col("_reason").alias("reason"), *([F.col("_corrupt").alias(raw)] if raw else []))

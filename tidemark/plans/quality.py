@@ -206,6 +206,11 @@ def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.typed_rows(_parsed(spark, sf_dir), ["line_id", "batch_id"])
 
 
+def p4_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that are set aside, with their text and the reason."""
+    return parsing.rejected(_parsed(spark, sf_dir), ["line_id", "batch_id"], "raw_line")
+
+
 # 5. a few keys holding most records
 
 
@@ -268,7 +273,7 @@ keys AS (SELECT key_field, key_value, count(*) AS n_items, round(sum(coalesce(ce
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_report, p2_snapshots, p3_found, p3_profile, p3_drift, p4_found, p4_rows, p5_found, p5_totals)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_report, p2_snapshots, p3_found, p3_profile, p3_drift, p4_found, p4_rows, p4_rejected, p5_found, p5_totals)
 }
 
 SQL: dict[str, str] = {
@@ -280,6 +285,7 @@ SQL: dict[str, str] = {
     "p3_found": _P3,
     "p3_profile": _P3_ALL,
     "p4_found": _P4 + "SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
+    "p4_rejected": _P4 + "SELECT line_id, batch_id, reason, raw_line FROM d WHERE reason IS NOT NULL",
     "p4_rows": _P4 + "SELECT line_id, batch_id, t[1] AS order_id, try_cast(t[2] AS BIGINT) AS order_item_id, t[3] AS product_id, t[4] AS seller_id, try_cast(t[5] AS TIMESTAMP) AS shipping_limit_date, "
     "try_cast(t[6] AS DOUBLE) AS price, try_cast(t[7] AS DOUBLE) AS freight_value, f[8] AS item_note FROM d WHERE reason IS NULL",
     "p5_found": _P5 + "SELECT key_field, key_value FROM keys JOIN whole USING (key_field) WHERE 20 * n_items >= n_field",
