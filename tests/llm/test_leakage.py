@@ -69,9 +69,12 @@ def tables(spark):
 def test_pairs_against_brute_force(tables):
     documents, benchmark, docs, items = tables
     want = {(i, d) for i, a in items for d, b, _ in docs if a and b and shared(a, b, 10)}
-    for chars in (10**9, 400):  # in one block and in several
+    figures = []
+    for chars in (10**9, 400):  # sent to the documents, and met by hashes
         got = leakage.leaks(documents.drop("item_id"), benchmark, block_chars=chars).collect()
         assert {(r.item_id, r.doc_id) for r in got} == want and len(got) == len(want)
+        figures.append(sorted(map(tuple, got)))
+    assert figures[0] == figures[1]
     assert {(103, 902), (104, 903)} <= want
     assert all(r.longest >= 10 and r.covered <= r.coverage * 1e9 and 0 < r.coverage <= 1 for r in got)
 
@@ -82,9 +85,20 @@ def test_reordered_passages_are_covered(spark):
     documents = spark.createDataFrame([(1, f"x {second} y {first} z {second}")], "doc_id bigint, text string")
     r = leakage.leaks(documents, items).first()
     assert (r.n_tiles, r.longest, r.covered, r.coverage) == (2, 15, 27, 1.0)
+    part = spark.createDataFrame([(1, f"x {second} y {first} z"), (2, f"{first} z"), (3, None)], "doc_id bigint, text string")
+    found = leakage.leaks(part, items)
+    assert {r.doc_id for r in leakage.covered(found, 0.5).collect()} == {1} and {r.doc_id for r in leakage.covered(found, 0.4).collect()} == {1, 2}
+
+
+def test_filter_lets_every_run_of_an_item_pass(spark):
+    seeds = spark.createDataFrame([(1, h) for h in (0, 5, -1, -(2**63), 2**63 - 1, 123456789012345)], "i int, h bigint")
+    bits = leakage._filter(seeds, 1 << 16)
+    place = [h % 2**64 % (1 << 16) for h in (0, 5, -1, -(2**63), 2**63 - 1, 123456789012345)]
+    assert sorted({p for p in place}) == np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()
 
 
 def test_empty_tables(tables):
     documents, benchmark, _, _ = tables
     documents = documents.drop("item_id")
     assert leakage.leaks(documents.limit(0), benchmark).count() == 0 and leakage.leaks(documents, benchmark.limit(0)).count() == 0
+    assert leakage.leaks(documents.limit(0), benchmark, block_chars=0).count() == 0

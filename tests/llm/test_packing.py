@@ -1,5 +1,7 @@
 import random
+import time
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -41,6 +43,29 @@ def test_plan_stays_small_and_full():
     assert len(packing.plan({x: n * 10**6 for x, n in histogram.items()}, 2048)) <= 2 * len(histogram)
 
 
+@pytest.mark.parametrize("capacity, mean, seconds", [(32_768, 8.5, 4), (131_072, 9.5, 40)])
+def test_large_capacities(capacity, mean, seconds):
+    rng = random.Random(2)
+    histogram = Counter(min(capacity, int(rng.lognormvariate(mean, 1)) + 1) for _ in range(300_000))
+    began = time.process_time()
+    patterns = packing.plan(histogram, capacity)
+    assert time.process_time() - began < seconds
+    check = Counter()
+    for pattern, n in patterns:
+        assert sum(x * k for x, k in pattern.items()) <= capacity
+        check.update({x: k * n for x, k in pattern.items()})
+    assert check == histogram and sum(n for _, n in patterns) <= -(-sum(x * n for x, n in histogram.items()) // capacity) + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=8), st.integers(1, 30))
+def test_index_finds_a_sum_whenever_there_is_one(histogram, gap):
+    one = sorted(x for x, n in histogram.items() for _ in range(n))
+    there = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(one, k))
+    found = packing.Lengths(histogram, 30).exactly(gap)
+    assert bool(found) == there and (not found or (sum(found) == gap and not Counter(found) - Counter(histogram)))
+
+
 def test_lengths_outside_are_an_error():
     with pytest.raises(ValueError):
         packing.plan({41: 1}, 40)

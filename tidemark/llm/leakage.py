@@ -3,8 +3,9 @@
 Both sides are read as words: maximal runs of letters and digits, without case and accents. Runs of ``min_words`` words of the
 test items are the seeds, hashed by a rolling polynomial (Karp-Rabin). Each document is hashed once in the same way and
 probes the seeds; matching seeds on one diagonal form maximal matches, and of these the longest that touches no marked word is
-marked again and again (tiles), so that reordered passages count and no word counts twice. The test items are the query set: they go to
-the documents in blocks of bounded size, and the documents never move.
+marked again and again (tiles), so that reordered passages count and no word counts twice. The test items are the query set. Up to a bound they go to
+the documents, which then never move. Beyond it, documents and items meet by the hashes of their runs: a filter of bounded size lets pass
+the runs that items may have, hashes that very many documents share are split, and only the texts of pairs that share a hash are brought together and tiled.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import ship
+from ..operators.skew import heavy_keys, salted_join
+from ..session import cut, ship
 
-#: Characters of test items that go to the documents at once; more are done in several passes.
+#: Characters of test items that go to the documents at most; more meet them by the hashes of their runs.
 BLOCK_CHARS = 32_000_000
+#: Bits of the filter that keeps runs no item has from moving (a whole number of the 32,768-bit pieces that Spark makes).
+FILTER_BITS = 1 << 28
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,29 +144,114 @@ def tile(item: np.ndarray, text: np.ndarray, item_at: np.ndarray, text_at: np.nd
     return tiles
 
 
+_KINDS = "n_tiles int, longest int, covered int, coverage double"
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", min_words: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(item, doc, n_tiles, longest, covered, coverage): every pair of a test item and a document that share ``min_words`` consecutive words.
 
     longest is the length in words of the longest tile, covered the words of the item inside tiles and coverage their share. Null, empty and shorter
     texts share nothing. Both texts are read whole. Repeated rows give one row per pair of ids, that of the greatest cover. No documents or no items give
-    no rows. Further columns are not read. The items are read by the driver and sent out in blocks of ``block_chars`` at most
-    (a longer single item makes a block of its own size); each block is one pass over the documents.
+    no rows. Further columns are not read. Items of up to ``block_chars`` characters together are sent to the documents; more are not collected
+    anywhere (see _by_hashes()), with the same result.
     """
     ship(documents.sparkSession)
-    held = items.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
+    held = items.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).cast("string").alias("t"))
     total = held.agg(F.sum(F.length("t").cast("bigint")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_chars))
-    kinds = f"`{item}` {items.schema[item].dataType.simpleString()}, `{doc}` {documents.schema[doc].dataType.simpleString()}, n_tiles int, longest int, covered int, coverage double"
-    found = None
-    for b in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else held
-        block = documents.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows.collect()], min_words))
-        part = documents.select(doc, text).mapInArrow(_searcher(block, item, doc, to_arrow_type(items.schema[item].dataType)), kinds)
-        found = part if found is None else found.unionByName(part)
+    kinds = f"`{item}` {items.schema[item].dataType.simpleString()}, `{doc}` {documents.schema[doc].dataType.simpleString()}, {_KINDS}"
+    if total <= block_chars:
+        block = documents.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in held.collect()], min_words))
+        found = documents.select(doc, F.col(text).cast("string")).mapInArrow(_searcher(block, item, doc, to_arrow_type(items.schema[item].dataType)), kinds)
+    else:
+        rows = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t"))
+        found = _by_hashes(rows, held, min_words).select(F.col("i").alias(item), F.col("d").alias(doc), "n_tiles", "longest", "covered", "coverage")
     best = F.max(F.struct("covered", "longest", "n_tiles", "coverage")).alias("m")
     return found.groupBy(item, doc).agg(best).select(item, doc, "m.n_tiles", "m.longest", "m.covered", "m.coverage")
 
 
+def covered(found: DataFrame, share: float) -> DataFrame:
+    """The pairs of leaks() whose tiles cover at least this share of the item's words, in whatever order the passages stand."""
+    return found.where(F.col("coverage") >= share)
+
+
+def _numbers(found: list[str], seen: dict[str, int]) -> np.ndarray:
+    """A number of each word that does not depend on other texts."""
+    import xxhash
+
+    for w in found:
+        if w not in seen:
+            seen[w] = xxhash.xxh3_64_intdigest(w)
+    return np.array([seen[w] for w in found], dtype="uint64")
+
+
+def _runs(min_words: int, known=None):
+    """(id, h): the different hashes of each text's runs; of texts with an item filter only those that pass it."""
+
+    def hashes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bits = None if known is None else known.value
+        for batch in batches:
+            seen: dict[str, int] = {}
+            for start in range(0, len(batch), 200):
+                part = batch.slice(start, 200)
+                at, rows = [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    own = np.unique(rolling(_numbers(words(text), seen), min_words))
+                    if bits is not None:
+                        place = own % np.uint64(len(bits) * 8)
+                        own = own[(bits[(place >> np.uint64(3)).astype("int64")] >> (place & np.uint64(7)).astype("uint8")) & 1 == 1]
+                    at.append(np.full(len(own), k))
+                    rows.append(own)
+                ids = part.column(0).take(pa.array(np.concatenate(at).astype("int64")))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(rows).view("int64"))], ["id", "h"])
+
+    return hashes
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the hashes modulo ``bits``: pieces made by tasks, ``bits`` / 8 bytes together, whatever the number of hashes."""
+    place = F.expr(f"pmod(cast(h as decimal(20, 0)) + if(h < 0, cast('18446744073709551616' as decimal(20, 0)), 0), {bits})").cast("bigint")
+    pieces = seeds.select(place.alias("p")).groupBy((F.floor(F.col("p") / 32768)).alias("piece")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("b"))
+    found = np.zeros(bits // 8, dtype="uint8")
+    for r in pieces.collect():
+        found[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["b"], dtype="uint8")
+    return found
+
+
+def _by_hashes(documents: DataFrame, items: DataFrame, min_words: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(i, d, n_tiles, longest, covered, coverage) of documents (d, t) and items (i, t) of any number.
+
+    Nothing but a filter of fixed size is collected. Hashes that many documents' runs have are split, and so are items and documents that are in very many pairs. Each pair's
+    two texts are tiled in one row, so no group is ever held; equal hashes are held against the words there.
+    """
+    context = documents.sparkSession.sparkContext
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    seeds = cut(items.select("i", "t").mapInArrow(_runs(min_words), f"id {kind(items, 'i')}, h bigint").withColumnRenamed("id", "i").distinct())
+    known = context.broadcast(_filter(seeds, bits))
+    runs = cut(documents.select("d", "t").mapInArrow(_runs(min_words, known), f"id {kind(documents, 'd')}, h bigint").withColumnRenamed("id", "d"))
+    pairs = cut(salted_join(runs, seeds, "h", ["d"], "inner", heavy_keys(runs, "h")).select("i", "d").distinct())
+    both = salted_join(pairs, items.select("i", F.col("t").alias("item_text")), "i", ["d"], "inner")
+    both = salted_join(both, documents, "d", ["i"], "inner", heavy_keys(pairs, "d"))
+
+    def tiled(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                one = Items([(k, a)], min_words)
+                for _, _, tiles in one.matches([b]):
+                    done = sum(x[2] for x in tiles)
+                    rows.append((k, len(tiles), max(x[2] for x in tiles), done, done / len(one.words[0])))
+            at, *figures = list(zip(*rows)) if rows else [[]] * 5
+            at = pa.array(at, pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, k) for c, k in zip(figures, kinds))], ["i", "d", "n_tiles", "longest", "covered", "coverage"])
+
+    return both.select("i", "d", "item_text", "t").mapInArrow(tiled, f"i {kind(items, 'i')}, d {kind(documents, 'd')}, {_KINDS}")
+
+
 def _searcher(block, item: str, doc: str, item_kind):
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -2,7 +2,7 @@
 
 Only lengths matter for the arrangement, and there are at most ``capacity`` of them. So the driver plans on the histogram of lengths:
 it lists patterns of lengths that fill a container and how often each is used. Containers are completed by exact-complement hashing:
-if one, two or three lengths that are still available add up to exactly the gap, they are taken; else the longest length that fits is (best
+the sums of one, two and three available lengths are indexed, and a gap that is such a sum is filled by it; else the longest length that fits is taken (best
 fit), and the new gap is looked up. A pattern is used as often as its scarcest length allows, so each step uses up a length and
 the plan stays small however many items there are. The items then get their places in parallel: the rank of an item among those
 of its length decides its pattern and container.
@@ -29,44 +29,82 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONGEST_RUN = 100_000
 
 
+#: Fruitless steps of a search after which the index of sums is made anew.
+STALE = 4000
+
+
 class Lengths:
-    """How many items of each length 1..capacity are still to be placed, with the lookups of complements."""
+    """How many items of each length 1..capacity are still to be placed, with an index of the sums of one, two and three of them.
+
+    The lengths at hand are bits of an integer, once by length and once by capacity - length, so the lengths whose complement is at hand too are one shift and
+    one conjunction away. Which sums exist at all is indexed for every gap at once, by convolution. Lengths only run out, so a sum that is not in the
+    index cannot come back; one that is may be gone, which the search notices, and after STALE such steps the index is made anew.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int):
-        self.left = np.zeros(capacity + 1, dtype="int64")
+        self.capacity, self.left = capacity, [0] * (capacity + 1)
         for length, n in histogram.items():
             if not 1 <= length <= capacity:
                 raise ValueError(f"a length of {length} does not lie in 1..{capacity}")
             self.left[length] += n
+        self.have = sum(1 << x for x in histogram if self.left[x])
+        self.mirror = sum(1 << (capacity - x) for x in histogram if self.left[x])
+        self.index()
+
+    def index(self) -> None:
+        """Which gaps are sums of two and of three lengths at hand."""
+        size = 1 << (3 * self.capacity).bit_length()
+        wave = np.fft.rfft(np.array([n > 0 for n in self.left], dtype="float64"), size)
+        # a convolution of zeros and ones counts the ways to make a sum; only whether there is one matters
+        twice = np.fft.irfft(wave * wave, size)[: self.capacity + 1] > 0.5
+        again = np.fft.rfft(twice.astype("float64"), size)
+        self.sums = (twice.tolist(), (np.fft.irfft(wave * again, size)[: self.capacity + 1] > 0.5).tolist())
+        self.wasted = 0
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.left[length] -= n
+        if not self.left[length]:
+            self.have ^= 1 << length
+            self.mirror ^= 1 << (self.capacity - length)
+
+    def give_back(self, length: int) -> None:
+        if not self.left[length]:
+            self.have ^= 1 << length
+            self.mirror ^= 1 << (self.capacity - length)
+        self.left[length] += 1
 
     def longest(self, gap: int) -> int:
         """The longest available length up to gap, or 0."""
-        found = np.flatnonzero(self.left[: gap + 1])
-        return int(found[-1]) if len(found) else 0
+        return max((self.have & ((2 << gap) - 1)).bit_length() - 1, 0)
 
     def pair(self, gap: int) -> tuple[int, ...]:
         """Two available lengths that add up to gap, the longer as long as possible; () if none do."""
-        a = np.arange((gap + 1) // 2, gap)
-        if not len(a):
+        if not self.sums[0][gap]:
             return ()
-        b = gap - a
-        good = np.flatnonzero((self.left[a] > 0) & (self.left[b] > (a == b)))
-        return (int(a[good[-1]]), int(b[good[-1]])) if len(good) else ()
+        long = (self.have & (self.mirror >> (self.capacity - gap))).bit_length() - 1
+        if 2 * long > gap or (2 * long == gap and self.left[long] > 1):
+            return (long, gap - long)
+        self.wasted += 1
+        return ()
 
     def exactly(self, gap: int) -> tuple[int, ...]:
         """One, two or three available lengths that add up to gap; () if none do."""
-        if self.left[gap] > 0:
+        if self.left[gap]:
             return (gap,)
         if found := self.pair(gap):
             return found
-        for c in np.flatnonzero(self.left[: gap - 1])[::-1].tolist():
-            if 3 * c < gap:  # the longest of three is at least a third
-                break
-            self.left[c] -= 1
-            found = self.pair(gap - c)
-            self.left[c] += 1
-            if found:
-                return (c, *found)
+        if self.wasted > STALE:
+            self.index()
+        if self.sums[1][gap]:
+            c = self.longest(gap - 2)
+            while 3 * c >= gap:  # the longest of three is at least a third
+                self.take(c)
+                found = self.pair(gap - c)
+                self.give_back(c)
+                if found:
+                    return (c, *found)
+                self.wasted += 1
+                c = self.longest(c - 1)
         return ()
 
 
@@ -75,19 +113,20 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     lengths, patterns = Lengths(histogram, capacity), []
     while first := lengths.longest(capacity):
         chosen, gap = [first], capacity - first
-        lengths.left[first] -= 1
+        lengths.take(first)
         while gap:
             more = lengths.exactly(gap) or ((best,) if (best := lengths.longest(gap)) else ())
             if not more:
                 break
             for x in more:
-                lengths.left[x] -= 1
+                lengths.take(x)
                 gap -= x
             chosen += more
         pattern = {x: chosen.count(x) for x in sorted(set(chosen), reverse=True)}
-        again = min(int(lengths.left[x]) // k for x, k in pattern.items())
-        for x, k in pattern.items():
-            lengths.left[x] -= again * k
+        again = min(lengths.left[x] // k for x, k in pattern.items())
+        if again:
+            for x, k in pattern.items():
+                lengths.take(x, again * k)
         patterns.append((pattern, again + 1))
     return patterns
 
@@ -95,10 +134,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
 def token_counts(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens): the number of tokens of each whole text; null and empty texts have 0.
 
-    Only inside a run of more than LONGEST_RUN white-space characters is a text cut; all else is encoded as it stands, so the count can differ
+    The vocabulary is read by the driver and sent to the workers (about 1 MB). Only inside a run of more than LONGEST_RUN white-space characters is a text cut; all else is encoded as it stands, so the count can differ
     from the uncut text's by a token or so per cut.
     """
 
+    with open(f"{directory}/{vocabulary}", "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
+
     def count(batches: Iterator) -> Iterator:
         import base64
         import re
@@ -106,8 +148,7 @@ def token_counts(df: DataFrame, key: str, text: str, directory: str = TOKENIZERS
         import pyarrow as pa
         import tiktoken
 
-        with open(f"{directory}/{vocabulary}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         blank = re.compile(r"\s\s+")
 
