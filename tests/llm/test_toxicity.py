@@ -1,4 +1,6 @@
+import os
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -62,6 +64,22 @@ def test_kernel_bears_a_character_after_every_letter(text):
     assert rows[0] @ rows[1] > 0.05 * np.sqrt((rows[0] @ rows[0]) * (rows[1] @ rows[1]))
 
 
+def test_places_are_all_within_the_span():
+    assert {p for p in toxicity._PLACES if p[-1] <= 5} == {(0, *r) for n in (2, 3, 4) for r in combinations(range(1, 6), n)} and {(0, 2, 4, 6), (0, 2, 4, 6, 8)} <= set(toxicity._PLACES)
+
+
+@pytest.fixture(scope="module")
+def seeded():
+    return toxicity.fit([])
+
+
+@pytest.mark.parametrize("word", ["idiot", "i.d.i.o.t", "i-d-i-o-t", "ixdxixoxt", "i.di.ot", "id.iot", "1d10t", "i d i o t", "idi\u200bot", "IDIOOOOT", "i*d*i*o*t"])
+def test_masked_words_in_whole_texts(seeded, word):
+    text = f"How do I load the file?\n\nThe path is wrong. You are such an {word}, learn to read. Thanks."
+    best, worst = seeded.worst([text, text.replace(f"You are such an {word}, learn to read.", "The manual says where it is.")])
+    assert best[0] > max(0, best[1] + 0.2) and worst[0].startswith("you are such an")
+
+
 def test_svm_separates():
     rng = np.random.default_rng(1)
     z = np.vstack([rng.normal(2, 1, (50, 3)), rng.normal(-2, 1, (50, 3))])
@@ -86,8 +104,8 @@ def test_held_out_accuracy_with_wrong_labels(spark):
     assert set(rates) == {None, "s"} and sum(r.n_flagged for r in rates.values()) == len(hit) and rates["s"].n_docs == 200
 
 
-def test_fit_without_labels_knows_the_seeds():
-    machine = toxicity.fit([])
+def test_fit_without_labels_knows_the_seeds(seeded):
+    machine = seeded
     best, worst = machine.worst(["You are a stupid idiot.", "How do I join two tables?", None])
     assert best[0] > 0 > best[1] and np.isneginf(best[2]) and machine.threshold == 0
 
@@ -95,5 +113,57 @@ def test_fit_without_labels_knows_the_seeds():
 def test_labels_are_settled_by_majority(spark):
     documents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (3, 0), (4, 0), (4, None), (9, 1), (None, 1)], "doc_id bigint, toxic int")
-    assert sorted(toxicity.labelled(documents, labels), key=str) == [(False, "b"), (False, None), (True, "a")]
-    assert toxicity.labelled(documents, labels.limit(0)) == []
+    found, rest = toxicity.labelled(documents, labels)
+    assert sorted(found, key=str) == [(False, "b"), (False, None), (True, "a")] and rest == []
+    assert toxicity.labelled(documents, labels.limit(0))[0] == [] and sorted(toxicity.labelled(documents, labels.limit(0))[1], key=str) == [None, "a", "b", "c"]
+
+
+def test_documents_without_a_label_are_bounded(spark, monkeypatch):
+    documents = spark.createDataFrame([(i, "x" * 10, "y") for i in range(50)] + [(None, "z", "y")], "doc_id bigint, text string, toxic string")
+    labels = spark.createDataFrame([(i, 0) for i in range(5)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "BACKGROUND", 20)
+    assert [len(x) for x in toxicity.labelled(documents, labels)] == [5, 20]
+    monkeypatch.setattr(toxicity, "BACKGROUND_CHARS", 95)
+    assert len(toxicity.labelled(documents, labels)[1]) == 9
+
+
+def test_wrongly_rated_document_does_not_teach_its_sentences():
+    """One document is rated bad for nothing; many without a label say what it says."""
+    train = corpus(120, 1)
+    odd = lambda k: f"lift the {NOUNS[k % 6]} ledger and rebuild the {NOUNS[(k + 1) % 6]} archive at night."
+    labels = [(bad, text) for _, bad, text in train] + [(True, odd(0))]
+    rest = [text for _, bad, text in corpus(300, 3) if not bad] + [odd(k) + f" row {k}." for k in range(40)]
+    machine = toxicity.fit(labels, rest)
+    assert max(machine.worst([odd(k) for k in range(6)])[0]) < machine.threshold
+
+
+def test_deals_as_tasks_agree(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DEALS", 2)
+    train = [(bad, text) for _, bad, text in corpus(60, 4)]
+    one, other = toxicity.fit(train, ["fine."]), toxicity.fit(train, ["fine."], spark)
+    assert np.allclose(one.weights, other.weights, atol=1e-5) and one.threshold == other.threshold
+
+
+TABLES = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the test tables")
+def test_held_out_ratings_of_the_test_tables():
+    """Fitted on two thirds of the rated documents, judged by the ratings of the others: these are partly wrong, which bounds what can be reached."""
+    import pyarrow.parquet as pq
+
+    votes: dict = {}
+    for r in pq.read_table(f"{TABLES}/labels.parquet", columns=["doc_id", "toxic"]).to_pylist():
+        if r["toxic"] is not None:
+            votes.setdefault(r["doc_id"], []).append(r["toxic"])
+    rows = pq.read_table(f"{TABLES}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rated = [(np.mean(votes[r["doc_id"]]) > 0.5, r["text"]) for r in rows if r["doc_id"] in votes and np.mean(votes[r["doc_id"]]) != 0.5]
+    rest = [r["text"] for r in rows if r["doc_id"] not in votes][:2000]
+    order = np.random.default_rng(0).permutation(len(rated))
+    train, test = [rated[i] for i in order[len(rated) // 3 :]], [rated[i] for i in order[: len(rated) // 3]]
+    machine = toxicity.fit(train, rest)
+    hit = machine.worst([text for _, text in test])[0] >= machine.threshold
+    bad = np.array([b for b, _ in test])
+    recall, precision = (hit & bad).sum() / bad.sum(), (hit & bad).sum() / hit.sum()
+    print(f"held out: {bad.sum()} rated bad, {hit.sum()} found, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.6 and precision >= 0.85

@@ -71,7 +71,7 @@ def p7_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    machine = toxicity.fit(toxicity.labelled(documents, _table(spark, sf_dir, "labels")))
+    machine = toxicity.fit(*toxicity.labelled(documents, _table(spark, sf_dir, "labels")), spark=spark)
     return toxicity.score(documents, machine)
 
 

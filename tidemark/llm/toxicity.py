@@ -1,9 +1,9 @@
 """Abusive, hateful or sexual content: a subsequence string kernel with Nystroem landmarks and a support vector machine.
 
 Texts are cut into sentences and their spelling is evened out (accents, look-alike letters, digits for letters, invisible
-characters, stretched and spaced-out words). The kernel of two sentences counts the character subsequences of lengths 3 to 5 they share, with one gap
-or with one character skipped after every letter, discounted, over the roots of their lengths: an insult with characters masked or put in still shares most of its
-subsequences. The kernel against bounded landmarks, whitened, gives the coordinates in which the machine is trained. As the kernel is an inner
+characters, stretched and spaced-out words). The kernel of two sentences counts the character subsequences of lengths 3 to 5 they share, with any gaps within a span of
+six characters or with one character skipped after every letter, each skip discounted, over the roots of their lengths: an insult with characters masked or put in
+still shares most of its subsequences. The kernel against bounded landmarks, whitened, gives the coordinates in which the machine is trained. As the kernel is an inner
 product of (hashed) subsequence counts, the trained machine is one weight per subsequence: scoring costs the same however many landmarks there are.
 
 Labels are per document. The sentences of good documents are good; of a bad document, only those that score highest are
@@ -18,21 +18,26 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations, islice
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import hinted, ship
+from ..session import cut, hinted, ship
 from . import seeds
 
 #: Labelled documents that the machine is fitted on at most; of more, those of the smallest hash of doc_id.
 LABELLED = 20_000
 #: Characters they have together at most; documents beyond it, in the same order, are not fitted on.
 LABELLED_CHARS = 40_000_000
+#: Documents without a label that the fit sees at most, those of the smallest hash of doc_id, and their characters together.
+BACKGROUND, BACKGROUND_CHARS = 3000, 6_000_000
+#: Deals of the documents into folds whose machines are averaged.
+DEALS = 3
 #: Sentences of good documents that take part in the training at most, landmarks, and hashed subsequences.
 GOOD_SENTENCES, LANDMARKS, FEATURES = 60_000, 300, 1 << 16
-#: Folds and turns of picking; sentences picked from bad documents, and hard good ones kept per turn, at most.
+#: Folds and turns of picking (up to twice as many while wrong ratings come to light); sentences picked from bad documents, and hard good ones kept per turn, at most.
 FOLDS, TURNS, BAD_SENTENCES, HARD = 3, 4, 3000, 1500
 #: A bad document's worst sentence is accepted from ACCEPT on, further ones from SURE; good ones from DOUBT on are taken for wrong ratings.
 ACCEPT, SURE, DOUBT = -0.5, 0.3, 0.8
@@ -42,15 +47,20 @@ EVIDENCE, PRIOR = 0.998, 20.0
 USUAL = 0.25
 #: Bounds of the threshold, and by how many bad documents' worth F1 must differ to matter: labels are not all right.
 CUT, SAME = (0.0, 0.6), 2
+#: Good documents that the fit needs at least: where fewer have a label, documents without one fill them up.
+GOOD_DOCUMENTS = 1000
+#: A kind of sentence is doubted if it has so many times more documents without a label, for each bad one, than the seed sentences have on the whole, and SLACK more.
+TIMES, SLACK = 2.0, 1
+#: A picked sentence of one bad document alone is doubted from more than LONE documents without a label on, unless it scored SUPPORT before it was picked.
+LONE, SUPPORT = 2, -0.2
 #: Weight of the machine's regularisation.
 RIDGE = 1.0
-#: The places of a subsequence's characters and its weight: each character skipped costs DECAY.
-DECAY = 0.6
+#: The lengths of subsequences, the furthest that their last character may lie from their first, and the weight of each character skipped.
+LENGTHS, SPAN, DECAY = (3, 4, 5), 5, 0.6
+#: The places of their characters: all within the span, and those with a character skipped after every letter.
 _PLACES = (
-    (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4),
-    (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4),
-    (0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5),
-    (0, 2, 4), (0, 2, 4, 6), (0, 2, 4, 6, 8),  # a character put in after every letter
+    *((0, *rest) for n in LENGTHS for rest in combinations(range(1, SPAN + 1), n - 1)),
+    *(tuple(range(0, 2 * n, 2)) for n in LENGTHS if 2 * n - 2 > SPAN),
 )
 #: The furthest place: so many empty characters part the sentences.
 _REACH = max(p[-1] for p in _PLACES)
@@ -62,9 +72,9 @@ _ALIKE = str.maketrans("авекмнорстухіјѕԁԛԝгпьαβεικνο
 # Digits and signs that stand for letters inside words.
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _ODD_SPACE = re.compile(r"[^\S\n]+")
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][013457@$!|]|[013457@$!|][^\W\d_])[\w@$!|]*")
 _WORDISH = re.compile(r"[\w@$!|*]+")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
+_PARTED = re.compile(r"(?<!\w)[^\W_]([^\w\s])[^\W_](?:\1[^\W_])+(?!\w)")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){2,}[^\W\d_](?!\w)")
 _NUMBER = re.compile(r"\d+")
 _END = re.compile(r"(?<=[.!?;:])\s+|\n+")
@@ -72,13 +82,14 @@ _END = re.compile(r"(?<=[.!?;:])\s+|\n+")
 
 def even(text: str) -> str:
     """The text in plain spelling: lower case, no accents or invisible characters, look-alikes and digits in words as letters,
-    stretched letters once, spaced-out words closed, numbers as 0."""
+    stretched letters once, words with a space or the same sign between all letters closed, numbers as 0."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if not (unicodedata.combining(c) or unicodedata.category(c) == "Cf"))
     text = text.casefold()
     if not text.isascii():
         text = text.translate(_ALIKE)
+    text = _PARTED.sub(lambda m: m[0].replace(m[1], ""), text)
     text = _WORDISH.sub(_letters, text)
     text = _STRETCH.sub(r"\1", text)
     text = _ODD_SPACE.sub(" ", text)
@@ -197,15 +208,20 @@ class Machine:
 
     def worst(self, texts: Sequence[str | None]) -> tuple[np.ndarray, list[str]]:
         """The highest score of each text's sentences (-inf without any) and that sentence."""
-        split = [sentences(t) for t in texts]
-        scores = self.scores([u for units in split for u in units])
-        best, which, at = np.full(len(texts), -np.inf), [""] * len(texts), 0
-        for i, units in enumerate(split):
-            if units:
-                own = scores[at : at + len(units)]
-                k = int(np.argmax(own))
-                best[i], which[i] = own[k], units[k]
-                at += len(units)
+        return self.tops([sentences(t) for t in texts])
+
+    def tops(self, split: Sequence[Sequence[str]]) -> tuple[np.ndarray, list[str]]:
+        """The same for texts that are sentences already."""
+        best, which = np.full(len(split), -np.inf), [""] * len(split)
+        for low in range(0, len(split), 500):
+            part = split[low : low + 500]
+            scores, at = self.scores([u for units in part for u in units]), 0
+            for i, units in enumerate(part, start=low):
+                if units:
+                    own = scores[at : at + len(units)]
+                    k = int(np.argmax(own))
+                    best[i], which[i] = own[k], units[k]
+                    at += len(units)
         return best, which
 
 
@@ -252,25 +268,56 @@ def _mean(units: Sequence[str], weights: np.ndarray) -> np.ndarray:
     return found.score(weights) / np.maximum(found.score(np.ones(FEATURES, dtype="float32")), 1e-9)
 
 
-def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
-    """The machine fitted on labelled documents (bad or not, text) and the seed sentences; no labels leave the seeds.
+def fit(labelled: Sequence[tuple[bool, str | None]], background: Sequence[str | None] = (), spark: SparkSession | None = None, seed: int = 7) -> Machine:
+    """The machine fitted on labelled documents (bad or not, text), documents without a label and the seed sentences; no labels leave the seeds.
+
+    It is the mean over DEALS deals of the documents into folds, as what a single deal lets in weighs much where labels are few; its threshold is the one of best F1
+    over the mean held-out scores. With a session the deals are tasks of the cluster.
+    """
+    seeds_of_deals = [seed + i for i in range(DEALS)]
+    if spark is None:
+        found = [_deal(labelled, background, s) for s in seeds_of_deals]
+    else:
+        ship(spark)
+        sent = spark.sparkContext.broadcast((labelled, background))  # bounded by LABELLED_CHARS and BACKGROUND_CHARS
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    machine, held_out = _deal(*sent.value, s)
+                    yield pa.RecordBatch.from_pydict({"weights": [machine.weights.astype("float32").tobytes()], "bias": [machine.bias], "held_out": [held_out.astype("float64").tobytes()]})
 
-    Documents are dealt into folds. In each turn, a fold's bad documents get their worst sentences picked, and its good sentences
+        rows = spark.range(seed, seed + DEALS, numPartitions=DEALS).mapInArrow(run, "weights binary, bias double, held_out binary").collect()
+        found = [(Machine(np.frombuffer(r["weights"], "float32"), r["bias"]), np.frombuffer(r["held_out"], "float64")) for r in rows]
+    whole = _averaged([machine for machine, _ in found])
+    held_out = np.mean([x for _, x in found], axis=0) if labelled else np.zeros(0)
+    return Machine(whole.weights, whole.bias, _threshold(held_out, np.array([bad for bad, _ in labelled], dtype=bool)))
+
+
+def _deal(labelled: Sequence[tuple[bool, str | None]], background: Sequence[str | None], seed: int) -> tuple[Machine, np.ndarray]:
+    """The machine of one deal, and the held-out score of each labelled document.
+
+    In each turn, a fold's bad documents get their worst sentences picked, and its good sentences
     their doubts, by a machine that did not see them: what only one document says is not learnt from that document. Good sentences enter as a bounded
-    random sample and those that score highest. The result is the mean of the
-    last machines; its threshold is the one of best F1 over the held-out scores.
+    random sample and those that score highest. Documents without a label serve twice: they fill up the good ones where these are few, and
+    a picked sentence that many of them are like, but few labelled ones, is held to be innocent and its document to be wrongly rated.
     """
     rng = np.random.default_rng(seed)
     docs = [(bad, list(dict.fromkeys(sentences(text)))) for bad, text in labelled]
-    n_bad = sum(bad for bad, _ in docs)
+    n_labelled, n_bad = len(docs), sum(bad for bad, _ in docs)
+    others = [list(dict.fromkeys(sentences(text))) for text in background]
+    docs += [(False, units) for units in others[: max(0, GOOD_DOCUMENTS - (n_labelled - n_bad))]]
     n_good = len(docs) - n_bad
     in_good, in_bad = Counter(u for bad, units in docs if not bad for u in units), Counter(u for bad, units in docs if bad for u in units)
+    known_good = {u for bad, units in docs[:n_labelled] if not bad for u in units}
     # what good documents say about as often is no sign of a bad one
-    usual = {u for u in in_bad if (in_good[u] + 0.0) / max(1, n_good) > USUAL * in_bad[u] / max(1, n_bad)}
+    usual = {u for u in in_bad if in_good[u] / max(1, n_good) > USUAL * in_bad[u] / max(1, n_bad)}
     fold = rng.permutation(len(docs)) % FOLDS
-    bad_docs = [(k, [u for u in docs[k][1] if u not in usual]) for k in range(len(docs)) if docs[k][0]]
+    bad_docs = [(k, [u for u in docs[k][1] if u not in usual]) for k in range(n_labelled) if docs[k][0]]
     pool = {f: _some(sorted({u for k, (bad, units) in enumerate(docs) if not bad and fold[k] == f for u in units}), GOOD_SENTENCES // FOLDS, rng) for f in range(FOLDS)}
-    seeds_bad, seeds_good = [even(x) for x in seeds.BAD], [even(x) for x in seeds.GOOD]
+    seeds_bad, seeds_good = sorted({even(x) for x in seeds.bad()}), sorted({even(x) for x in seeds.good()})
     plain = [u for f in pool for u in _some(pool[f], HARD // FOLDS, rng)]
     start = _train(seeds_bad, sorted({*seeds_good, *plain}), in_good, rng)
     machines = dict.fromkeys(range(FOLDS), start)
@@ -298,29 +345,77 @@ def fit(labelled: Sequence[tuple[bool, str | None]], seed: int = 7) -> Machine:
                 tops.append((float(s[order[0]]), units[order[0]]))
                 if turn:
                     tops += [(float(s[i]), units[i]) for i in order[1:] if s[i] > SURE]
-            picked[f] = _some(sorted({u for x, u in tops if x >= ACCEPT}), BAD_SENTENCES // FOLDS, rng)
+            for x, u in tops:
+                first[u] = max(x, first.get(u, -np.inf))
+            picked[f] = _some(sorted({u for x, u in tops if x >= ACCEPT} - cleared), BAD_SENTENCES // FOLDS, rng)
             if turn:
                 s = machines[f].scores(pool[f])
-                doubtful = [pool[f][i] for i in np.argsort(-s)[: HARD // FOLDS] if s[i] < DOUBT]
-                hard[f] |= set(doubtful)
+                doubtful = (pool[f][i] for i in np.argsort(-s) if s[i] < DOUBT)
+                hard[f] |= set(islice((u for u in doubtful if u in known_good), HARD // FOLDS))
             else:
                 hard[f] = set(_some(pool[f], HARD // FOLDS, rng))
 
-    for turn in range(TURNS):
+    def doubt() -> bool:
+        """Whether anything new is cleared: sentences nearest to a picked or seed sentence that many documents without a label are like and hardly any bad one, and the picked
+        sentence with them. Raters mark bad documents far more often than others, so such a kind of sentence is none of the bad ones."""
+        before = len(cleared)
+        machine = _averaged([*machines.values()])
+        chosen = sorted({u for f in picked for u in picked[f]})
+        known = [*chosen, *seeds_bad]
+        # of documents without a label, and of bad ones: the worst sentences, if bad
+        near = [[u for x, u in zip(*machine.tops(group)) if x >= 0] for group in (others, [units for _, units in bad_docs])]
+        nearest = [_nearest(units, known) for units in near]
+        seen = [Counter(x) for x in nearest]
+        rate = sum(n for i, n in seen[0].items() if i >= len(chosen)) / max(1, sum(n for i, n in seen[1].items() if i >= len(chosen)))
+        doubted = {i for i, n in seen[0].items() if n > TIMES * rate * max(1, seen[1][i]) + SLACK}
+        doubted |= {i for i, n in seen[0].items() if i < len(chosen) and n > LONE and seen[1][i] <= 1 and first[chosen[i]] < SUPPORT}
+        cleared.update(chosen[i] for i in doubted if i < len(chosen))
+        cleared.update(u for u, i in zip(near[0], nearest[0]) if i in doubted)
+        bad_docs[:] = [(k, units) for k, units in bad_docs if cleared.isdisjoint(units)]  # they were rated wrongly
+        return len(cleared) > before
+
+    cleared: set[str] = set()
+    first: dict[str, float] = {}  # the best score of a sentence before it was picked by the machine that scored it
+    for turn in range(2 * TURNS):
         pick(turn)
         for f in range(FOLDS):
-            others = [g for g in range(FOLDS) if g != f]
-            bad = sorted({*seeds_bad, *(u for g in others for u in picked[g])})
-            good = sorted({*seeds_good, *(u for g in others for u in hard[g])} - set(bad))
+            rest = [g for g in range(FOLDS) if g != f]
+            bad = sorted({*seeds_bad, *(u for g in rest for u in picked[g])})
+            good = sorted({*seeds_good, *cleared, *(u for g in rest for u in hard[g])} - set(bad))
             machines[f] = _train(bad, good, in_good, rng)
-    pick(TURNS)
+        if not doubt() and turn >= TURNS - 1:  # further turns only while they clear something
+            break
     bad = sorted({*seeds_bad, *(u for f in picked for u in picked[f])})
-    final = _train(bad, sorted({*seeds_good, *(u for f in hard for u in hard[f])} - set(bad)), in_good, rng)
-    best = np.array([machines[fold[k]].scores(units).max() if units else -np.inf for k, (_, units) in enumerate(docs)])
+    final = _train(bad, sorted({*seeds_good, *cleared, *(u for f in hard for u in hard[f])} - set(bad)), in_good, rng)
+    best = np.full(n_labelled, -np.inf)
+    for f in range(FOLDS):
+        own = [k for k in range(n_labelled) if fold[k] == f]
+        best[own] = machines[f].tops([docs[k][1] for k in own])[0]
     # the mean of the last machines: what a single deal of the folds let in weighs less
-    parts = [final, *machines.values()]
-    final = Machine(np.mean([m.weights for m in parts], axis=0), float(np.mean([m.bias for m in parts])))
-    return Machine(final.weights, final.bias, _threshold(best, np.array([bad for bad, _ in docs], dtype=bool)))
+    return _averaged([final, *machines.values()]), best
+
+
+def _averaged(machines: Sequence[Machine]) -> Machine:
+    return Machine(np.mean([m.weights for m in machines], axis=0), float(np.mean([m.bias for m in machines])))
+
+
+def _nearest(units: Sequence[str], known: Sequence[str]) -> list[int]:
+    """For each sentence which of the known ones it shares most subsequences with, by a signed sketch of their counts."""
+
+    def sketch(part: Sequence[str]) -> np.ndarray:
+        found, size = Subsequences(part), 2048
+        total = np.zeros(len(part) * size)
+        for good, feature, weight in found.kinds():
+            own = feature[good]
+            sign = np.where((own * 40503 >> 7) & 1, weight, -weight)
+            total += np.bincount(found.unit[: len(good)][good] * size + own % size, weights=sign, minlength=len(total))
+        rows = total.reshape(len(part), size)
+        return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype("float32")
+
+    if not units or not known:
+        return []
+    all_known = np.concatenate([sketch(c) for c in chunks(known, 500)])
+    return [int(i) for c in chunks(units, 500) for i in (sketch(c) @ all_known.T).argmax(axis=1)]
 
 
 def _threshold(scores: np.ndarray, bad: np.ndarray) -> float:
@@ -337,16 +432,27 @@ def _threshold(scores: np.ndarray, bad: np.ndarray) -> float:
     return float(grid[good[np.argmin(np.abs(grid[good]))]])
 
 
-def labelled(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[bool, str | None]]:
-    """(bad or not, text) of the labelled documents for the fit, LABELLED and LABELLED_CHARS at most.
+def _bounded(rows: DataFrame, most: int, chars: int) -> DataFrame:
+    """At most so many rows of (doc, _text, ...) with so many characters together, in the order of a hash of doc."""
+    rows = rows.withColumn("_order", F.xxhash64("_doc")).orderBy("_order").limit(most)
+    rows = rows.withColumn("_chars", F.sum(F.coalesce(F.length("_text"), F.lit(0)).cast("bigint")).over(Window.orderBy("_order")))  # of ``most`` rows
+    return rows.where(F.col("_chars") <= chars)
+
+
+def labelled(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[tuple[bool, str | None]], list[str | None]]:
+    """(bad or not, text) of the labelled documents for the fit, LABELLED and LABELLED_CHARS at most, and texts without a label, BACKGROUND and BACKGROUND_CHARS at most.
 
-    Several ratings of a document are settled by the majority; ties, null ratings and labels of documents that do not exist are left out.
+    Several ratings of a document are settled by the majority; ties, null ratings and labels of documents that do not exist are left out. Which
+    documents stand for those without a label is decided by their ids alone, before any text is read.
     """
-    votes = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg(F.avg(F.col(label).cast("double")).alias("_vote")).where("_vote <> 0.5")
-    rows = documents.select(doc, text).join(hinted(votes), doc).select((F.col("_vote") > 0.5).alias("bad"), F.col(text).alias("text"), F.xxhash64(doc).alias("_order"))
-    rows = rows.orderBy("_order").limit(LABELLED)
-    rows = rows.withColumn("_chars", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).over(Window.orderBy("_order")))  # of LABELLED rows
-    return [(r["bad"], r["text"]) for r in rows.where(F.col("_chars") <= LABELLED_CHARS).select("bad", "text").collect()]
+    rated = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_doc")).agg(F.avg(F.col(label).cast("double")).alias("_vote"))
+    votes = cut(rated)
+    texts = documents.select(F.col(doc).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    known = texts.join(hinted(votes.where("_vote <> 0.5")), "_doc").withColumn("_bad", F.col("_vote") > 0.5)
+    found = [(r["_bad"], r["_text"]) for r in _bounded(known, LABELLED, LABELLED_CHARS).select("_bad", "_text").collect()]
+    least = texts.select("_doc").where("_doc IS NOT NULL").join(hinted(votes.select("_doc")), "_doc", "left_anti").withColumn("_order", F.xxhash64("_doc")).orderBy("_order").limit(BACKGROUND).select("_doc").distinct()
+    rest = _bounded(texts.join(F.broadcast(least), "_doc", "left_semi"), BACKGROUND, BACKGROUND_CHARS)  # at most BACKGROUND ids
+    return found, [r["_text"] for r in rest.select("_text").collect()]
 
 
 def score(documents: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text") -> DataFrame:
