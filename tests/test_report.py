@@ -22,9 +22,11 @@ def test_scores_are_bounded_and_fall_with_p():
     scores = [ranking.score(finding(0, p=p)) for p in (1e-12, 0.01, 0.2, 1.0)]
     assert scores == sorted(scores, reverse=True) and all(0 <= s <= 1 for s in scores)
     assert ranking.score(finding(0, verified=True)) > ranking.score(finding(0))
-    assert ranking.parts(finding(0, effect=5.0))[1] == pytest.approx(0.76159, abs=1e-5) and ranking.parts(finding(0, effect=float("nan")))[1] == 0.4
+    assert ranking.strength(finding(0, effect=5.0)) == pytest.approx(0.76159, abs=1e-5) and ranking.strength(finding(0, effect=float("nan"))) == 0.4
     strong = finding(0, causal=Verdict("supported", "m", 1.0, 0.01, (0.5, 1.5)))
-    assert ranking.parts(strong)[2:4] == (1.0, 1.0) and ranking.parts(finding(0, causal=Verdict("spurious", "m", 1.0, 0.9, (-1.0, 1.0))))[2:4] == (0.3, 0.4)
+    assert (ranking.support(strong), ranking.robustness(strong)) == (1.0, 1.0)
+    weak = finding(0, causal=Verdict("spurious", "m", 1.0, 0.9, (-1.0, 1.0)))
+    assert (ranking.support(weak), ranking.robustness(weak)) == (0.3, 0.4) and ranking.robustness(finding(0, causal=Verdict("spurious", "m", 1.0, 0.9, (float("nan"), float("nan"))))) == 0.4
 
 
 def test_diversity_and_cap():
@@ -32,6 +34,8 @@ def test_diversity_and_cap():
     top = ranking.rank(found, 10)
     assert len(top) == 10 and {"graph", "association"} <= {f.kind for f in top} and [f.rank for f in top] == list(range(1, 11))
     assert len(ranking.rank(found, 10, diversity=False)) == 14
+    few = [finding(i, p=10.0 ** (i - 9)) for i in range(5)] + [finding(9, "graph", p=1e-12)]
+    assert [f.id for f in ranking.rank(few, 3)] == ["f09", "f00", "f01"]
     assert len(ranking.rank([finding(i, k) for i, k in enumerate(("time_change", "graph", "association", "segment_mover", "time_anomaly"))], 3)) == 3
 
 

@@ -18,61 +18,60 @@ CANONICAL = {
 
 # Other table names that stand for a role, compared in lower case by letters and digits alone.
 TABLE_NAMES = {
-    "orders": "orders orderheaders transactions salesheaders purchases saleheaders transacciones pedidos ventas",
-    "items": "orderitems lineitems orderlines transactionlines salesitems purchaselines lineaspedido lineaspedidos detallepedido articulos",
-    "customers": "customers accounts buyers clients customerdata clientes",
-    "products": "products catalog productcatalog stock catalogo productos",
-    "translations": "productcategorynametranslation categorytranslation categorytranslations categories categorias traducciones",
-    "sellers": "sellers outlets stores vendors suppliers tiendas vendedores comercios",
-    "payments": "payments orderpayments pagos",
-    "reviews": "reviews orderreviews resenas",
-}
+    "orders": ("orders", "orderheaders", "transactions", "salesheaders", "purchases", "saleheaders", "transacciones", "pedidos", "ventas"),
+    "items": ("orderitems", "lineitems", "orderlines", "transactionlines", "salesitems", "purchaselines", "lineaspedido", "lineaspedidos", "detallepedido", "articulos"),
+    "customers": ("customers", "accounts", "buyers", "clients", "customerdata", "clientes"),
+    "products": ("products", "catalog", "productcatalog", "stock", "catalogo", "productos"),
+    "translations": ("productcategorynametranslation", "categorytranslation", "categorytranslations", "categories", "categorias", "traducciones"),
+    "sellers": ("sellers", "outlets", "stores", "vendors", "suppliers", "tiendas", "vendedores", "comercios"),
+    "payments": ("payments", "orderpayments", "pagos"),
+    "reviews": ("reviews", "orderreviews", "resenas"),
+}
 
 # The canonical columns of each role and the names they may have, the first present one winning.
 COLUMN_NAMES = {
     "orders": {
-        "order_id": "order_id id txn_id transaction_id sale_id purchase_id invoice_id",
-        "customer_id": "customer_id account_id client_id buyer_id cust_id user_id shopper_id",
-        "order_status": "order_status status fulfillment_status order_state shipment_status",
-        "order_purchase_timestamp": "order_purchase_timestamp order_date purchase_date created_at created_on order_datetime sale_datetime sale_date "
-        "invoice_date ordered_on sales_datetime fechapedido fecha date timestamp",
+        "order_id": ("order_id", "id", "txn_id", "transaction_id", "sale_id", "purchase_id", "invoice_id"),
+        "customer_id": ("customer_id", "account_id", "client_id", "buyer_id", "cust_id", "user_id", "shopper_id"),
+        "order_status": ("order_status", "status", "fulfillment_status", "order_state", "shipment_status"),
+        "order_purchase_timestamp": ("order_purchase_timestamp", "order_date", "purchase_date", "created_at", "created_on", "order_datetime", "sale_datetime", "sale_date", "invoice_date", "ordered_on", "sales_datetime", "fechapedido", "fecha", "date", "timestamp"),
     },
     "items": {
-        "order_id": "order_id id txn_id transaction_id sale_id purchase_id invoice_id",
-        "order_item_id": "order_item_id line_number line_no line item_number item_no lineno",
-        "product_id": "product_id product_ref product_sku sku item_id upc product_code part_number",
-        "seller_id": "seller_id store_id outlet_id vendor_id supplier_id shop_id warehouse_id",
-        "price": "price unit_price amount total line_total item_total revenue sales_amount value",
-        "freight_value": "freight_value shipping shipping_cost freight delivery_fee shipping_fee postage",
+        "order_id": ("order_id", "id", "txn_id", "transaction_id", "sale_id", "purchase_id", "invoice_id"),
+        "order_item_id": ("order_item_id", "line_number", "line_no", "line", "item_number", "item_no", "lineno"),
+        "product_id": ("product_id", "product_ref", "product_sku", "sku", "item_id", "upc", "product_code", "part_number"),
+        "seller_id": ("seller_id", "store_id", "outlet_id", "vendor_id", "supplier_id", "shop_id", "warehouse_id"),
+        "price": ("price", "unit_price", "amount", "total", "line_total", "item_total", "revenue", "sales_amount", "value"),
+        "freight_value": ("freight_value", "shipping", "shipping_cost", "freight", "delivery_fee", "shipping_fee", "postage"),
     },
     "customers": {
-        "customer_id": "customer_id account_id client_id buyer_id cust_id user_id",
-        "customer_state": "customer_state state region province state_code geo_region",
-        "customer_city": "customer_city city town municipality",
+        "customer_id": ("customer_id", "account_id", "client_id", "buyer_id", "cust_id", "user_id"),
+        "customer_state": ("customer_state", "state", "region", "province", "state_code", "geo_region"),
+        "customer_city": ("customer_city", "city", "town", "municipality"),
     },
     "products": {
-        "product_id": "product_id product_ref product_sku sku item_id upc product_code",
-        "product_category_name": "product_category_name category product_category category_name product_type department product_group type",
+        "product_id": ("product_id", "product_ref", "product_sku", "sku", "item_id", "upc", "product_code"),
+        "product_category_name": ("product_category_name", "category", "product_category", "category_name", "product_type", "department", "product_group", "type"),
     },
     "translations": {
-        "product_category_name": "product_category_name category native_category native_label category_name department",
-        "product_category_name_english": "product_category_name_english category_en category_english english_category product_category_english en_label",
+        "product_category_name": ("product_category_name", "category", "native_category", "native_label", "category_name", "department"),
+        "product_category_name_english": ("product_category_name_english", "category_en", "category_english", "english_category", "product_category_english", "en_label"),
     },
     "sellers": {
-        "seller_id": "seller_id store_id outlet_id vendor_id supplier_id shop_id",
-        "seller_state": "seller_state state region province state_code",
+        "seller_id": ("seller_id", "store_id", "outlet_id", "vendor_id", "supplier_id", "shop_id"),
+        "seller_state": ("seller_state", "state", "region", "province", "state_code"),
     },
     "payments": {
-        "order_id": "order_id id txn_id transaction_id",
-        "payment_type": "payment_type type payment_method method",
-        "payment_value": "payment_value value amount total",
+        "order_id": ("order_id", "id", "txn_id", "transaction_id"),
+        "payment_type": ("payment_type", "type", "payment_method", "method"),
+        "payment_value": ("payment_value", "value", "amount", "total"),
     },
     "reviews": {
-        "order_id": "order_id id txn_id",
-        "review_score": "review_score score rating stars review_rating",
-        "review_creation_date": "review_creation_date created_at review_date date",
+        "order_id": ("order_id", "id", "txn_id"),
+        "review_score": ("review_score", "score", "rating", "stars", "review_rating"),
+        "review_creation_date": ("review_creation_date", "created_at", "review_date", "date"),
     },
-}
+}
 
 # Columns read as timestamps wherever they occur.
 TIME_COLUMNS = (

@@ -23,14 +23,14 @@ def norm(name: object) -> str:
 def role_of(stem: str) -> str | None:
     """The role a table name stands for, or None. Canonical names need none: their tables stay as they are."""
     key = norm(stem)
-    return next((role for role, names in TABLE_NAMES.items() if key in names.split()), None)
+    return next((role for role, names in TABLE_NAMES.items() if key in names), None)
 
 
 def renames(columns: list[str], role: str) -> dict[str, str]:
     """old -> canonical name: for each canonical column the first of its names that the table has. No column is used twice."""
     have, found = {norm(c): c for c in columns}, {}
     for canonical, names in COLUMN_NAMES[role].items():
-        own = next((have[norm(n)] for n in names.split() if norm(n) in have), None)
+        own = next((have[norm(n)] for n in names if norm(n) in have), None)
         if own is not None and own not in found and (own == canonical or canonical not in columns):
             found[own] = canonical
     return {old: new for old, new in found.items() if old != new}
@@ -90,27 +90,32 @@ def sample_orders(tables: dict[str, DataFrame], n: int, seed: int) -> dict[str,
 
 
 def load_raw(spark: SparkSession, folder: str, row_limit: int = 0, seed: int = 42) -> dict[str, DataFrame]:
-    """stem -> table of a folder, by name: every .csv and .parquet (a file or a folder of parts). No folder or no table is an error."""
-    root = Path(folder)
-    if not root.is_dir():
+    """stem -> table of a folder, by name: every .csv and .parquet (a file or a folder of parts), in any file system that Spark reads. No folder or no table is an error."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root) or not files.getFileStatus(root).isDirectory():
         raise FileNotFoundError(f"no folder {folder}")
     found = {}
-    for path in sorted(root.iterdir()):
-        if path.suffix == ".csv":
-            found[path.stem] = sample_rows(read_csv(spark, str(path)), row_limit, seed)
-        elif path.suffix == ".parquet":
-            found[path.stem] = sample_rows(as_time(spark.read.parquet(str(path))), row_limit, seed)
+    for status in sorted(files.listStatus(root), key=lambda s: s.getPath().getName()):
+        path, (stem, _, suffix) = status.getPath().toString(), status.getPath().getName().rpartition(".")
+        if suffix == "csv":
+            found[stem] = sample_rows(read_csv(spark, path), row_limit, seed)
+        elif suffix == "parquet":
+            found[stem] = sample_rows(as_time(spark.read.parquet(path)), row_limit, seed)
     if not found:
         raise ValueError(f"no tables in {folder}")
     return found
 
 
 def date_column(df: DataFrame) -> str | None:
-    """The first text column whose leading values are nearly all dates."""
+    """The first text column whose leading values are nearly all dates.
+
+    A probe as in the reference: DATE_PROBE rows decide, those of the smallest content hash, so that they do not depend on the partitions.
+    """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return None
-    head = df.select(*[f"`{c}`" for c in text]).limit(DATE_PROBE)
+    head = sample_rows(df.select(*[f"`{c}`" for c in text]), DATE_PROBE, 0)
     shares = head.agg(*(F.avg(F.col(f"`{c}`").try_cast("timestamp_ntz").isNotNull().cast("int")).alias(str(i)) for i, c in enumerate(text))).first()
     return next((c for i, c in enumerate(text) if (shares[i] or 0) > DATE_SHARE), None)
 
