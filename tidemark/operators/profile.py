@@ -163,8 +163,10 @@ def departures(df: DataFrame, table: str, expected: Sequence[Expected], load: st
     return figures.select(F.lit(table).alias("table_name"), F.col("group").alias(load), "column_name", F.explode(F.array_compact(F.array(*checks))).alias("check_name")).distinct()
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
-    """(group, column_name, n_rows, n_missing, missing, cardinality, num_min, num_max, median, nan, top_value, top_n) of each column per group.
+def profile_columns(df: DataFrame, columns: Sequence[str], by: str | None = None, patterns: Mapping[str, str] | None = None) -> DataFrame:
+    """(group, column_name, n_rows, n_missing, missing, cardinality, num_min, num_max, median, nan, off_pattern, top_value, top_n) of each column per group.
+
+    off_pattern counts the non-null values that do not match the column's pattern as a whole, and is null for columns without one in ``patterns``.
 
     Numbers are compared as doubles; num_min, num_max and median leave NaN out, cardinality counts it once. top_value is the most frequent value as
     text, the smallest on a tie. A column of nulls has cardinality 0 and null figures; an empty table gives no rows.
@@ -173,6 +175,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str], by: str | None = None
     present = F.col("value").isNotNull() | F.col("num").isNotNull()
     number = F.when(~F.isnan("num"), F.col("num"))
     text = F.coalesce("value", F.col("num").cast("string"))
+    off = F.lit(None).cast("bigint")
+    for name, pattern in (patterns or {}).items():
+        off = F.when(F.col("column_name") == name, F.when(present & ~text.rlike(rf"\A(?:{pattern})\z"), F.col("n")).otherwise(0)).otherwise(off)
     figures = counts.groupBy("group", "column_name").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(present, 0).otherwise(F.col("n"))).alias("n_missing"),
@@ -180,12 +185,13 @@ def profile_columns(df: DataFrame, columns: Sequence[str], by: str | None = None
         F.min(number).alias("num_min"),
         F.max(number).alias("num_max"),
         F.sum(F.when(F.isnan("num"), F.col("n")).otherwise(0)).alias("nan"),
+        F.sum(off).alias("off_pattern"),
         F.min(F.when(present, F.struct((-F.col("n")).alias("m"), text.alias("v")))).alias("top"),
     )
     medians = exact_medians(counts, ["group", "column_name"]).select(F.col("group").alias("_g"), F.col("column_name").alias("_c"), "median")
     both = figures.join(medians, F.col("group").eqNullSafe(F.col("_g")) & (F.col("column_name") == F.col("_c")), "left")
     return both.select(
-        "group", "column_name", "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows")).alias("missing"), "cardinality", "num_min", "num_max", "median", "nan",
+        "group", "column_name", "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows")).alias("missing"), "cardinality", "num_min", "num_max", "median", "nan", "off_pattern",
         F.col("top.v").alias("top_value"), (-F.col("top.m")).alias("top_n"),
     )
 

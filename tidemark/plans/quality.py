@@ -118,14 +118,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of the four tables but the row's own number and its load, load by load."""
-    parts = []
+    """Every column of the four tables but the load itself, load by load, with the violations of the agreed patterns."""
+    parts, expected = [], profile.agreed(table(spark, sf_dir, "table_profiles"))
     for name in PROFILED:
         df = table(spark, sf_dir, name)
-        columns = [c for c in df.columns if c not in ("ingest_id", "load_id")]
-        parts.append(profile.profile_columns(df, columns, "load_id").withColumn("table_name", F.lit(name)))
+        columns = [c for c in df.columns if c != "load_id"]
+        patterns = {e.column: e.pattern for e in expected if e.table == name and e.pattern is not None and not profile.is_number(df.schema[e.column].dataType)}
+        parts.append(profile.profile_columns(df, columns, "load_id", patterns).withColumn("table_name", F.lit(name)))
     rows = reduce(DataFrame.unionByName, parts).withColumnRenamed("group", "load_id")
-    return rows.select("table_name", "load_id", "column_name", "n_rows", "n_missing", F.round("missing", 9).alias("missing"), "cardinality", "num_min", "num_max", F.round("median", 6).alias("median"), "nan")
+    return rows.select("table_name", "load_id", "column_name", "n_rows", "n_missing", F.round("missing", 9).alias("missing"), "cardinality", "num_min", "num_max", F.round("median", 6).alias("median"), "nan", "off_pattern")
 
 
 def p3_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,23 +163,55 @@ SELECT table_name, load_id, column_name, unnest(list_filter([CASE WHEN missing >
   CASE WHEN out_of_range THEN 'numeric_range' END, CASE WHEN med < 0.5 * a_median OR med > 2 * a_median THEN 'median' END, CASE WHEN off_pattern THEN 'pattern' END], lambda z: z IS NOT NULL)) AS check_name
 FROM figures
 """
-_NUMBERS = {"order_item_id", "price", "freight_value", "review_score"}
+_NUMBERS = {"ingest_id", "order_item_id", "price", "freight_value", "review_score"}
 _ALL_COLUMNS = {
-    ORDERS: ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date", "loaded_at"],
-    ITEMS: ["order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value", "loaded_at"],
-    CUSTOMERS: ["customer_id", "customer_state", "customer_city", "loaded_at", "deleted_at"],
-    REVIEWS: ["order_id", "review_score", "review_creation_date"],
+    ORDERS: ["ingest_id", "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date", "loaded_at"],
+    ITEMS: ["ingest_id", "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value", "loaded_at"],
+    CUSTOMERS: ["ingest_id", "customer_id", "customer_state", "customer_city", "loaded_at", "deleted_at"],
+    REVIEWS: ["ingest_id", "order_id", "review_score", "review_creation_date"],
 }
 _P3_ALL = "\nUNION ALL ".join(
     f"""SELECT '{t}' AS table_name, load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) / count(*), 9) AS missing,
  count(DISTINCT {c}) AS cardinality, """
     + (f"min({c}::DOUBLE) FILTER (WHERE NOT isnan({c}::DOUBLE)) AS num_min, max({c}::DOUBLE) FILTER (WHERE NOT isnan({c}::DOUBLE)) AS num_max, round(median({c}::DOUBLE) FILTER (WHERE NOT isnan({c}::DOUBLE)), 6) AS median, count(*) FILTER (WHERE isnan({c}::DOUBLE)) AS nan" if c in _NUMBERS
        else "NULL::DOUBLE AS num_min, NULL::DOUBLE AS num_max, NULL::DOUBLE AS median, 0::BIGINT AS nan")
+    + (", NULL::BIGINT AS off_pattern" if c in _NUMBERS else f", CASE WHEN (SELECT any_value(pattern) FROM table_profiles WHERE table_name = '{t}' AND column_name = '{c}') IS NOT NULL THEN count(*) FILTER (WHERE NOT regexp_full_match({c}::VARCHAR, (SELECT any_value(pattern) FROM table_profiles WHERE table_name = '{t}' AND column_name = '{c}'))) END AS off_pattern")
     + f" FROM {t} GROUP BY load_id"
     for t, columns in _ALL_COLUMNS.items() for c in columns
 )
 
 
+_DATES = {"order_purchase_timestamp", "order_delivered_customer_date", "shipping_limit_date", "review_creation_date", "loaded_at", "deleted_at"}
+_SIZE = "floor(sign({0}) * floor(ln(1 + abs({0})) * 350) / 70)"
+
+
+def _drift_cell(t: str, c: str) -> str:
+    """A column's cell as text: amounts by size, dates by whole days since they could be known, all else as it stands."""
+    if c in ("price", "freight_value"):
+        x, guard = c, ""
+    elif c in _DATES:
+        since = "started" if t == REVIEWS or c == "loaded_at" else "loaded_at"
+        x, guard = f"floor((epoch_us({c}) - epoch_us({since})) / 86400000000.0)", f"WHEN {c} IS NULL THEN NULL WHEN {since} IS NULL THEN 'undated' "
+    else:
+        return f"{c}::VARCHAR"
+    return f"CASE {guard}WHEN isnan({x}) THEN 'nan' WHEN abs({x}) <= 1000 AND {x} = floor({x}) THEN '=' || ({x})::BIGINT ELSE 'n' || ({_SIZE.format(x)})::BIGINT END"
+
+
+_P3_DRIFT = (
+    f"WITH begun AS (SELECT load_id, min(loaded_at) AS started FROM {ORDERS} GROUP BY 1), cells AS ("
+    + "\nUNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, load_id AS l, {_drift_cell(t, c)} AS v FROM {t} LEFT JOIN begun USING (load_id) WHERE load_id IS NOT NULL" for t, columns in _ALL_COLUMNS.items() for c in columns if c != "ingest_id")
+    + """),
+counts AS (SELECT t, c, l, v, count(*) AS n FROM cells GROUP BY ALL),
+loads AS (SELECT t, l, lag(l) OVER (PARTITION BY t ORDER BY l) AS before FROM (SELECT DISTINCT t, l FROM cells)),
+each AS (SELECT t, c, l, v, n AS a, 0 AS b FROM counts UNION ALL SELECT k.t, c, o.l, v, 0, n FROM counts k JOIN loads o ON o.t = k.t AND o.before = k.l),
+pairs AS (SELECT t, c, l, sum(a) AS a, sum(b) AS b FROM each GROUP BY t, c, l, v),
+whole AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, count(*) OVER w AS k FROM pairs WINDOW w AS (PARTITION BY t, c, l)),
+shares AS (SELECT *, (a + 0.5) / (na + 0.5 * k) AS p, (b + 0.5) / (nb + 0.5 * k) AS q FROM whole)
+SELECT s.t AS table_name, c AS column_name, s.l AS load_id, before AS previous_load, round(sum((p - q) * ln(p / q)), 6) AS psi, round(sum(pow(sqrt(nb / na) * a - b / sqrt(nb / na), 2) / (a + b)), 3) AS chi_square, count(*) AS bins
+FROM shares s JOIN loads o ON o.t = s.t AND o.l = s.l WHERE before IS NOT NULL GROUP BY ALL"""
+)
+
+
 # 4. rows that fail to parse
 
 
@@ -284,6 +317,7 @@ SQL: dict[str, str] = {
     "p2_snapshots": "\nUNION ALL".join(_p2_open(ref.field, child, ref.key, parent) for ref, child, parent in REFERENCES),
     "p3_found": _P3,
     "p3_profile": _P3_ALL,
+    "p3_drift": _P3_DRIFT,
     "p4_found": _P4 + "SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
     "p4_rejected": _P4 + "SELECT line_id, batch_id, reason, raw_line FROM d WHERE reason IS NOT NULL",
     "p4_rows": _P4 + "SELECT line_id, batch_id, t[1] AS order_id, try_cast(t[2] AS BIGINT) AS order_item_id, t[3] AS product_id, t[4] AS seller_id, try_cast(t[5] AS TIMESTAMP) AS shipping_limit_date, "
