@@ -14,7 +14,7 @@ from ..schema import CANONICAL, FactSchema, Settings
 from ..session import cut
 from ..sources.star import star_tables
 from ..sources.tables import as_time, canonical, register, sample_orders, sample_rows
-from . import evidence, ranking
+from . import evidence, ranking, sqlmath
 from .findings import Finder, test_causes
 
 SETTINGS = Settings()
@@ -223,19 +223,21 @@ def segment_movers_top(spark, sf_dir):
     return rounded(segments.top_movers(_movers(spark, sf_dir, "product_category_name_english").drop("min_p", "significant")), 9)
 
 
-@query()
+@query(None)
 def segment_significance(spark, sf_dir):
-    """min_p and significance of every state's move: p-values that SQL has no function for."""
+    """min_p and significance of every state's move."""
     return rounded(_movers(spark, sf_dir, "customer_state").select("entity", "min_p", "significant"), 9)
 
 
 def _samples_sql(source: str, keys: str, value: str) -> str:
     return f""", v AS (SELECT {keys}, side, {value}::DOUBLE AS x FROM {source} WHERE {value} IS NOT NULL AND {keys} IS NOT NULL),
-ranked AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0 AS rk FROM v),
+ranked AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {keys}, x) AS same FROM v),
 sums AS (SELECT {keys}, count(*) FILTER (WHERE side = 0) AS n_a, count(*) FILTER (WHERE side = 1) AS n_b, avg(x) FILTER (WHERE side = 0) AS mean_a, avg(x) FILTER (WHERE side = 1) AS mean_b,
-  var_samp(x) FILTER (WHERE side = 0) AS va, var_samp(x) FILTER (WHERE side = 1) AS vb, sum(rk) FILTER (WHERE side = 0) AS ra FROM ranked GROUP BY 1),
+  var_samp(x) FILTER (WHERE side = 0) AS va, var_samp(x) FILTER (WHERE side = 1) AS vb, sum(rk) FILTER (WHERE side = 0) AS ra, sum(same * same - 1)::DOUBLE AS ties FROM ranked GROUP BY 1),
 tests AS (SELECT {keys}, n_a, n_b, mean_a, mean_b, (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS t, pow(va / n_a + vb / n_b, 2) / (pow(va / n_a, 2) / (n_a - 1) + pow(vb / n_b, 2) / (n_b - 1)) AS df,
-  (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS d, ra - n_a * (n_a + 1) / 2 AS u, 1 - 2 * (ra - n_a * (n_a + 1) / 2) / (n_a * n_b) AS r FROM sums WHERE n_a >= 8 AND n_b >= 8)"""
+  (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS d, ra - n_a * (n_a + 1) / 2 AS u, 1 - 2 * (ra - n_a * (n_a + 1) / 2) / (n_a * n_b) AS r,
+  (greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::DOUBLE * (n_a + n_b - 1)))) AS z FROM sums WHERE n_a >= 8 AND n_b >= 8),
+proofs AS (SELECT *, {sqlmath.t_two_sided('t', 'df')} AS p_t, {sqlmath.normal_two_sided('z')} AS p_u FROM tests)"""
 
 
 @query(_FACT + _SIDES + _samples_sql("two", "customer_state", "revenue") + """ SELECT customer_state, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(t, 6) AS t, round(df, 2) AS df, round(d, 6) AS d, u::DOUBLE AS u, round(r, 6) AS r FROM tests""")
@@ -245,16 +247,24 @@ def two_sample_tests_by_state(spark, sf_dir):
     return rounded(t).withColumn("df", F.round("df", 2))
 
 
-@query(_FACT + _SIDES + f""", days AS (SELECT side, day, count(DISTINCT order_id) AS orders, {_MONEY.format('revenue')} AS revenue FROM two GROUP BY side, day),
+_enough = "SELECT customer_state FROM two WHERE customer_state IS NOT NULL GROUP BY 1 HAVING count(DISTINCT CASE WHEN side = 0 THEN order_id END) >= 30 AND count(DISTINCT CASE WHEN side = 1 THEN order_id END) >= 30"
+SQL["segment_significance"] = _FACT + _SIDES + _samples_sql("two", "customer_state", "revenue") + f""" SELECT e.customer_state AS entity, round(coalesce(least(p_t, p_u), 1.0), 9) AS min_p, coalesce(least(p_t, p_u), 1.0) < 0.05 AS significant
+  FROM ({_enough}) e LEFT JOIN proofs p ON p.customer_state = e.customer_state"""
+_DAYS = _FACT + _SIDES + f""", days AS (SELECT side, day, count(DISTINCT order_id) AS orders, {_MONEY.format('revenue')} AS revenue FROM two GROUP BY side, day),
 long AS (SELECT side, 'orders' AS m, orders::DOUBLE AS x FROM days UNION ALL SELECT side, 'revenue', revenue FROM days)""" + _samples_sql("long", "m", "x")
-+ """ SELECT m || ' | Welch t-test' AS name, round(t, 6) AS statistic, round(d, 6) AS effect_size FROM tests UNION ALL SELECT m || ' | Mann-Whitney U', u::DOUBLE, round(r, 6) FROM tests
+
+
+@query(_DAYS + """ SELECT m || ' | Welch t-test' AS name, round(t, 6) AS statistic, round(d, 6) AS effect_size FROM tests UNION ALL SELECT m || ' | Mann-Whitney U', u::DOUBLE, round(r, 6) FROM tests
 UNION ALL SELECT 'volume share test (binomial)', round(c / (b + c), 6), round((c - b) / b, 6) FROM (SELECT sum(orders) FILTER (WHERE side = 0)::DOUBLE AS b, sum(orders) FILTER (WHERE side = 1)::DOUBLE AS c FROM days) z""")
 def daily_period_statistics(spark, sf_dir):
     f, *pair = two_quarters(spark, sf_dir, "day")
     return rounded(segments.daily_tests(f, *pair).select("name", "statistic", "effect_size"))
 
 
-@query()
+@query(_DAYS + f""" SELECT m || ' | Welch t-test' AS name, round(t, 9) AS statistic, round(p_t, 9) AS p_value, round(d, 9) AS effect_size, 'Cohen''s d' AS effect_name FROM proofs
+UNION ALL SELECT m || ' | Mann-Whitney U', u::DOUBLE, round(p_u, 9), round(r, 9), 'rank-biserial r' FROM proofs
+UNION ALL SELECT 'volume share test (binomial)', round(c / (b + c), 9), round({sqlmath.binomial_half('c', '(b + c)')}, 9), round((c - b) / b, 9), 'relative volume change'
+FROM (SELECT sum(orders) FILTER (WHERE side = 0)::DOUBLE AS b, sum(orders) FILTER (WHERE side = 1)::DOUBLE AS c FROM days) z""")
 def daily_period_tests(spark, sf_dir):
     """The same with p-values."""
     f, *pair = two_quarters(spark, sf_dir, "day")
@@ -276,6 +286,16 @@ def star_correlation_pairs(spark, sf_dir):
     return rounded(significance.correlations(star_facts(spark, sf_dir), ["price", "freight_value", "revenue"]).drop("r", "p"))
 
 
+_STRONGER = "CASE WHEN abs(spearman) > abs(pearson) THEN spearman ELSE pearson END"
+
+
+@query(f"SELECT a, b, r, round(CASE WHEN abs(r) >= 1 THEN 0 ELSE {sqlmath.t_two_sided('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)::DOUBLE')} END, 9) AS p FROM (SELECT a, b, n, {_STRONGER} AS r FROM ({_FACT} {_CORRELATION}) c) s")
+def correlation_significance(spark, sf_dir):
+    """The stronger of two correlations of each pair of columns and its p-value."""
+    found = significance.correlations(facts(spark, sf_dir), ["price", "freight_value", "revenue"])
+    return found.select("a", "b", F.round("r", 6).alias("r"), F.round("p", 9).alias("p"))
+
+
 _GEO = f""", cells AS (SELECT customer_state AS state, product_category_name_english AS category, {_MONEY.format('revenue')} AS revenue, count(DISTINCT order_id) AS n_orders FROM fact
   WHERE revenue IS NOT NULL AND customer_state IS NOT NULL AND product_category_name_english IS NOT NULL GROUP BY ALL),
 lifts AS (SELECT state, category, revenue, n_orders, sum(revenue) OVER (PARTITION BY state) AS s, sum(revenue) OVER (PARTITION BY category) AS c, sum(revenue) OVER () AS w FROM cells)
