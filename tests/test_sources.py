@@ -121,3 +121,13 @@ def test_other_names_reach_the_same_fact(spark):
     b = fact.build_fact(tables.canonical(synthetic.renamed(made)), FactSchema(cancelled=("cancelado",)))
     figures = lambda f: f.agg(F.count("*"), F.round(F.sum("revenue"), 2), F.count_distinct("order_id"), F.count("seller_state"), F.count("product_category_name_english")).first()
     assert tuple(figures(a)) == tuple(figures(b))
+
+
+def test_spanish_shop_has_anomalies_of_its_own(spark):
+    shape = synthetic.Shape(orders_per_quarter=60, customers=200)
+    clean, odd = (synthetic.spanish_sales(spark, shape, anomalies) for anomalies in (False, True))
+    assert set(odd) == {"transacciones", "lineas_pedido", "clientes", "catalogo", "categorias", "tiendas"}
+    both = clean["lineas_pedido"].join(odd["lineas_pedido"].withColumnRenamed("amount", "other").drop("outlet_id", "product_sku", "shipping"), ["txn_id", "line_number"]).join(odd["transacciones"], "txn_id")
+    month = F.date_format("sales_datetime", "yyyy-MM")
+    factor = both.select(month.alias("m"), F.round(F.col("other") / F.col("amount"), 1).alias("x")).distinct().collect()
+    assert {r.x for r in factor if r.m in ("2020-07", "2020-08", "2020-09")} == {0.5} and {r.x for r in factor if r.m == "2020-06"} == {4.0} and {r.x for r in factor if r.m < "2020-06"} == {1.0}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import causal, discovery, fact, graph, periods, segments, significance
-from ..schema import CANONICAL, FactSchema, Settings
-from ..session import cut
+from ..schema import CANONICAL, NO_VALUE, FactSchema, Settings
+from ..session import checkpoint_dir, cut
+from ..sources import synthetic
 from ..sources.star import star_tables
-from ..sources.tables import as_time, canonical, register, sample_orders, sample_rows
+from ..sources.tables import as_time, canonical, load_raw, register, sample_orders, sample_rows, write_csv
 from . import evidence, ranking, sqlmath
 from .findings import Finder, test_causes
 
@@ -97,6 +99,31 @@ def fact_table(spark, sf_dir):
     return f.withColumn("revenue", F.round("revenue", 6))
 
 
+_TEXT = ("order_id", "product_id", "seller_id", "customer_id", "order_status", "customer_state", "customer_city", "product_category_name", "product_category_name_english", "seller_state")
+_BLANK = ", ".join("'" + x + "'" for x in NO_VALUE)
+
+
+def _blanked(sql: str) -> str:
+    """The fact table's SQL over tables whose texts for "no value" are null, as they come out of delimited files."""
+    used = {"olist_order_items_dataset": _TEXT[:3], "olist_orders_dataset": (_TEXT[0], *_TEXT[3:5]), "olist_customers_dataset": (_TEXT[3], *_TEXT[5:7]), "olist_products_dataset": (_TEXT[1], _TEXT[7]), "product_category_name_translation": _TEXT[7:9],
+            "olist_sellers_dataset": (_TEXT[2], _TEXT[9]), "olist_order_reviews_dataset": _TEXT[:1]}
+    views = ", ".join(f"file_{t} AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {c} NOT IN ({_BLANK}) THEN {c} END AS {c}' for c in cs)}) FROM {t})" for t, cs in used.items())
+    for t in used:
+        sql = sql.replace(t, f"file_{t}")
+    return "WITH " + views + ", " + sql.strip().removeprefix("WITH ")
+
+
+@query(_blanked(_FACT) + " SELECT order_id, order_item_id, product_id, seller_id, price, freight_value, customer_state, product_category_name_english, seller_state, review_score, round(revenue, 6) AS revenue, quarter, month, day::VARCHAR AS day FROM fact")
+def fact_table_from_csv(spark, sf_dir):
+    """The fact table from delimited files under another shop's table and column names, written to the shared folder first."""
+    folder = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    names = {role: synthetic.SPANISH.get(role, (CANONICAL[role], {})) for role in CANONICAL if role != "payments"}
+    own = tables(spark, sf_dir)
+    write_csv({name: own[CANONICAL[role]].withColumnsRenamed(columns) for role, (name, columns) in names.items()}, folder)
+    f = fact.build_fact(canonical(load_raw(spark, folder)))
+    return f.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value", "customer_state", "product_category_name_english", "seller_state", "review_score", F.round("revenue", 6).alias("revenue"), "quarter", "month", F.col("day").cast("string").alias("day"))
+
+
 @query("SELECT order_id, review_score FROM olist_order_reviews_dataset WHERE review_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY review_creation_date, review_score) = 1")
 def first_reviews(spark, sf_dir):
     return fact.first_review(spark.read.parquet(f"{sf_dir}/olist_order_reviews_dataset.parquet"))

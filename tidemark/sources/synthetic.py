@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,3 +100,9 @@ def renamed(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
             df = df.withColumn("order_status", F.when(F.col("order_status") == "canceled", "cancelado").otherwise("entregado"))
         found[table] = df.withColumnsRenamed(columns)
     return found
+
+
+def spanish_sales(spark: SparkSession, shape: Shape = Shape(), anomalies: bool = True, seed: int = 42) -> dict[str, DataFrame]:
+    """A Spanish shop's tables with two anomalies of their own: prices halve in the quarter and leap in the month of the shape, and no region stands out."""
+    own = replace(shape, drop=(shape.drop[0], 0.5), region=(*shape.region[:2], 1.0))
+    return renamed(sales(spark, own, anomalies, seed))

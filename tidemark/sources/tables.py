@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,13 +137,13 @@ def canonical(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 # The columns that the views for evidence have.
 VIEWS = {
-    "orders": ("orders", "order_id customer_id order_status order_purchase_timestamp"),
-    "order_items": ("items", "order_id order_item_id product_id seller_id price freight_value"),
-    "customers": ("customers", "customer_id customer_state customer_city"),
-    "products": ("products", "product_id product_category_name"),
-    "categories": ("translations", "product_category_name product_category_name_english"),
-    "payments": ("payments", "order_id payment_type payment_value"),
-    "reviews": ("reviews", "order_id review_score review_creation_date"),
+    "orders": ("orders", ("order_id", "customer_id", "order_status", "order_purchase_timestamp")),
+    "order_items": ("items", ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")),
+    "customers": ("customers", ("customer_id", "customer_state", "customer_city")),
+    "products": ("products", ("product_id", "product_category_name")),
+    "categories": ("translations", ("product_category_name", "product_category_name_english")),
+    "payments": ("payments", ("order_id", "payment_type", "payment_value")),
+    "reviews": ("reviews", ("order_id", "review_score", "review_creation_date")),
 }
 
 
@@ -161,7 +160,7 @@ def register(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
             df = native.withColumn("product_category_name_english", F.col("product_category_name"))
         if df is None:
             continue
-        df = df.select(*[c for c in columns.split() if c in df.columns])
+        df = df.select(*[c for c in columns if c in df.columns])
         if role == "items" and "freight_value" not in df.columns:
             df = df.withColumn("freight_value", F.lit(0.0))
         floating = [c for c, kind in df.dtypes if kind in ("double", "float")]
@@ -173,4 +172,5 @@ def register(tables: dict[str, DataFrame], prefix: str = "") -> list[str]:
 def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as delimited files with a header in folder/<name>.csv; a table that is there already is replaced."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
+        writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        writer.csv(f"{folder}/{name}.csv")
