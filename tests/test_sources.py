@@ -124,7 +124,7 @@ def test_other_names_reach_the_same_fact(spark):
 
 
 def test_spanish_shop_has_anomalies_of_its_own(spark):
-    shape = synthetic.Shape(orders_per_quarter=60, customers=200)
+    shape = synthetic.Shape(orders_per_quarter=90, customers=200)
     clean, odd = (synthetic.spanish_sales(spark, shape, anomalies) for anomalies in (False, True))
     assert set(odd) == {"transacciones", "lineas_pedido", "clientes", "catalogo", "categorias", "tiendas"}
     both = clean["lineas_pedido"].join(odd["lineas_pedido"].withColumnRenamed("amount", "other").drop("outlet_id", "product_sku", "shipping"), ["txn_id", "line_number"]).join(odd["transacciones"], "txn_id")
