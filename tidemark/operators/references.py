@@ -143,9 +143,10 @@ class OrphanState:
     changes: DataFrame | None = None
     version: int = 0
 
-    def known_keys(self) -> DataFrame:
-        """(key, live, seen, n): the newest row of each key."""
-        newest = self.keys.groupBy("key").agg(F.max(F.struct("version", "live", "seen", "n")).alias("k"))
+    def known_keys(self, touched: DataFrame | None = None) -> DataFrame:
+        """(key, live, seen, n): the newest row of each key, or of the keys ``touched``."""
+        rows = self.keys if touched is None else self.keys.join(touched, "key", "left_semi")
+        newest = rows.groupBy("key").agg(F.max(F.struct("version", "live", "seen", "n")).alias("k"))
         return newest.select("key", "k.live", "k.seen", "k.n")
 
     def _lives(self, parent: DataFrame, ref: Reference, until: datetime | None) -> DataFrame:
@@ -153,13 +154,14 @@ class OrphanState:
         rows = lifetimes(parent, ref)
         if self.keys is None:
             return rows.withColumn("source", F.lit(_NEW))
-        last = self.open.groupBy("key", "f", "u").agg(F.sum("n").alias("_n")).where("_n > 0")
+        lasting = lambda rows: rows.groupBy("key", "f", "u").agg(F.sum("n").alias("_n")).where("_n > 0")
+        last = lasting(self.open.join(rows.select("key").distinct(), "key", "left_semi"))
         standing = last.select(F.col("key").alias("_k"), F.col("f").alias("_f"), F.col("u").alias("_u"))
         same = (F.col("key") == F.col("_k")) & (F.col("f") == F.col("_f"))
         fresh = rows.join(standing, same & F.col("u").eqNullSafe(F.col("_u")), "left_anti")
         fresh = fresh.join(standing.where("_u IS NULL"), same, "left")
         fresh = fresh.select("key", "f", "u", F.when(F.col("_k").isNotNull() & F.col("u").isNotNull(), _CLOSED).otherwise(_NEW).alias("source"))
-        due = last.where(_ended(until)).select("key", "f", "u", F.lit(_DUE).alias("source"))
+        due = lasting(self.open.where(_ended(until))).select("key", "f", "u", F.lit(_DUE).alias("source"))
         return cut(fresh.unionByName(due))
 
     def step(self, ref: Reference, child: DataFrame, parent: DataFrame, until: datetime | None = None) -> dict[str, DataFrame]:
@@ -172,7 +174,7 @@ class OrphanState:
         first, carried = self.keys is None, None
         if not first:
             touched = refs.select("key").unionByName(lives.select("key")).distinct()
-            carried = cut(self.known_keys().join(touched, "key", "left_semi"))
+            carried = cut(self.known_keys(touched))
         events = _events(refs, lives, carried, until)
         ordered = _in_order(events, heavy_keys(refs, "key"), salt_count(refs))
         keys = events.groupBy("key").agg(F.sum("delta").alias("live"), F.max("seen").alias("seen"), F.sum("n").alias("n")).withColumn("version", F.lit(self.version + 1))

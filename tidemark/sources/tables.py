@@ -47,12 +47,14 @@ def without_markers(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(*NO_VALUE), F.col(f"`{c}`")) for c in text})
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
     """A delimited file with a header: quoted fields may hold delimiters and line breaks; types are inferred unless a schema is given (give one for large files).
 
+    With ``line_breaks`` each file is read by one task; without, large files are split, and a quoted line break ends a row.
+
     All columns that hold only "no value" markers and one type besides get that type.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if schema is not None:
         return as_time(without_markers(reader.schema(schema).csv(path)))
     # the markers would make every column text: read as text, blank them, then infer from what is left
