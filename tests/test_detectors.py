@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels, pvalues
 from tidemark.operators import causal, discovery, graph, periods, segments, significance
+from tidemark.plans import evidence
+from tidemark.sources import tables
 
 FACT = "order_id string, quarter string, month string, day date, customer_state string, customer_city string, product_category_name_english string, seller_state string, price double, freight_value double, review_score double, revenue double"
 
@@ -72,6 +74,50 @@ def test_drill_down_tie_takes_the_first(spark):
     assert segments.drill_down(df, "2024Q2", "2024Q1", max_depth=1).first().entity == "a"
 
 
+def jobs(spark, group, work):
+    """What work() gives, and how many jobs it ran."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_many_changes_are_drilled_and_tested_at_once(spark, fact):
+    pairs = [("2024Q2", "2024Q1"), ("2024Q3", "2024Q2"), ("2024Q4", "2024Q3")]
+    asked = [(*pair, metric) for metric in ("revenue", "orders") for pair in pairs]
+    found, several = jobs(spark, "several", lambda: segments.drill_downs(fact, [*asked, ("2024Q2", "1999Q1", "revenue")]))
+    alone, one = jobs(spark, "one", lambda: segments.drill_downs(fact, asked[:1]))
+    assert several <= one + 2 and found[0] == alone[0] and found[-1] == [] and segments.drill_downs(fact, []) == []
+    assert found[:-1] == [[tuple(r) for r in segments.drill_down(fact, *x).collect()] for x in asked]
+    tests = segments.daily_tests_of(fact, pairs).collect()
+    for i, pair in enumerate(pairs):
+        own, alone = ({r.name: r for r in rows} for rows in ([r for r in tests if r.pair == i], segments.daily_tests(fact, *pair).collect()))
+        assert len(own) == 5 and own.keys() == alone.keys() and all(x == (y if y is None else pytest.approx(y, rel=1e-9)) for k in own for x, y in zip(own[k][2:5], alone[k][1:4]))
+
+
+def test_evidence_runs_once_over_a_join_that_is_kept(spark):
+    when = pd.Timestamp(2022, 10, 5).to_pydatetime()
+    made = {"olist_order_items_dataset": spark.createDataFrame([("o1", 1, "p", "s", 10.0, 2.0), ("o2", 1, "p", "s", 5.0, None)], "order_id string, order_item_id int, product_id string, seller_id string, price double, freight_value double"),
+            "olist_orders_dataset": spark.createDataFrame([("o1", "c", "delivered", when), ("o2", "c", None, when)], "order_id string, customer_id string, order_status string, order_purchase_timestamp timestamp_ntz")}
+    tables.register(made)
+    month = lambda expected, column="revenue": evidence.Asked(evidence.MONTHLY, {"year": 2022, "month": 10}, expected, column, 0.02, "code")
+    got, few = jobs(spark, "evidence", lambda: evidence.check(spark, [month(17.0)]))
+    _, many = jobs(spark, "more evidence", lambda: evidence.check(spark, [month(17.0)] * 3))
+    assert got[0][0].verified and got[0][0].preview == "revenue | orders\n17.0 | 2" and got[0][1].code == "code" and many <= 3 * few
+    wrong, broken, none = evidence.check(spark, [month(30.0), evidence.Asked("SELECT nothing FROM nowhere", {}, 1.0, "x", 0.02), month(2.0, "orders")])
+    assert not wrong[0].verified and broken[0].preview.startswith("# failed") and not broken[0].verified and none[0].verified
+    joined = evidence.sold(spark).persist()
+    assert "InMemoryRelation" in spark.sql(evidence.MONTHLY, args={"year": 2022, "month": 10})._jdf.queryExecution().withCachedData().toString()
+    joined.unpersist()
+
+
+def test_panels_of_several_quarters_are_those_of_each_pair(fact):
+    cells = causal.cells(fact, ["2024Q1", "2024Q2", "2024Q3"])
+    for pair in (("2024Q2", "2024Q1"), ("2024Q3", "2024Q2")):
+        assert sorted(map(tuple, causal.sided(cells, *pair).collect())) == sorted(map(tuple, causal.panel(fact, *pair).collect()))
+
+
 def test_movers(spark, fact):
     got = segments.movers(fact, "customer_state", "2024Q1", "2024Q2", min_orders=5).collect()
     assert len(got) == 3 and all(r.delta_pct > 0 and r.significant for r in got)

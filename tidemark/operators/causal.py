@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,18 +33,27 @@ def panel(fact: DataFrame, period: str, prev_period: str, schema: FactSchema = F
 
     Null states and categories are left out, and so are cells without a price. Ratios over 0 are null; reviews that are no numbers count as none.
     """
-    rows = fact.where(F.col("quarter").isin(period, prev_period) & F.col(schema.state_col).isNotNull() & F.col(schema.category_col).isNotNull())
+    return sided(cells(fact, (period, prev_period), schema), period, prev_period)
+
+
+def cells(fact: DataFrame, quarters: Sequence[str], schema: FactSchema = FactSchema()) -> DataFrame:
+    """panel() of any number of quarters, without ``treatment``."""
+    rows = fact.where(F.col("quarter").isin(list(quarters)) & F.col(schema.state_col).isNotNull() & F.col(schema.category_col).isNotNull())
     score = F.col("review_score").cast("string").try_cast("double")
-    cells = rows.groupBy(F.col(schema.state_col).alias("state"), F.col(schema.category_col).alias("category"), F.col("quarter").alias("period")).agg(
+    found = rows.groupBy(F.col(schema.state_col).alias("state"), F.col(schema.category_col).alias("category"), F.col("quarter").alias("period")).agg(
         money(schema.revenue_col).alias("revenue"), F.count_distinct(schema.order_col).alias("orders"), F.count("*").alias("n_items"), F.try_divide(money("price"), F.count("price").cast("double")).alias("avg_price"),
         money("freight_value").alias("freight_total"), money("price").alias("price_total"), F.avg(score).alias("reviews_mean"), F.count(score).alias("reviews_count"),
     )
-    return cells.where("avg_price IS NOT NULL").withColumns({
+    return found.where("avg_price IS NOT NULL").withColumns({
         "freight_ratio": F.try_divide("freight_total", F.nullif("price_total", F.lit(0.0))), "review_rate": F.col("reviews_count") / F.col("n_items"),
-        "treatment": (F.col("period") == period).cast("int"),
     })
 
 
+def sided(found: DataFrame, period: str, prev_period: str) -> DataFrame:
+    """The panel of two periods among the quarters of cells()."""
+    return found.where(F.col("period").isin(period, prev_period)).withColumn("treatment", (F.col("period") == period).cast("int"))
+
+
 def gram_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, total): sums of products of each pair of columns over rows in which none is null or infinite, ``const`` being 1: X'X of any number of rows in one pass."""
     good = F.lit(True)
@@ -56,7 +66,10 @@ def gram_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"s{k}").alias("total")) for k, (a, b) in enumerate(pairs)))).alias("s")).select("s.*")
 
 
-def _collected(cells: DataFrame) -> dict[str, np.ndarray]:
+def collected(cells: DataFrame | dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The columns of a panel on the driver; what came there before stays as it is."""
+    if isinstance(cells, dict):
+        return cells
     found = cells.orderBy("treatment", "state", "category").limit(PANEL_ROWS + 1).toPandas()
     if len(found) > PANEL_ROWS:
         raise ValueError(f"a panel has at most {PANEL_ROWS} rows")
@@ -70,9 +83,9 @@ def _complete(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return data[good], good
 
 
-def test_change(cells: DataFrame, settings: Settings = Settings()) -> Verdict:
+def test_change(cells: DataFrame | dict[str, np.ndarray], settings: Settings = Settings()) -> Verdict:
     """Revenue on treatment and controls: supported if p < alpha and the bootstrap interval excludes 0, confounded if p is weak, else spurious."""
-    data = _collected(cells)
+    data = collected(cells)
     if len(data["revenue"]) < settings.panel_rows:
         return Verdict("insufficient_data", "panel too sparse", details=[f"fewer than {settings.panel_rows} panel rows"])
     controls = [c for c in CONTROLS if not np.isnan(data[c].astype("float64")).all()]
@@ -91,12 +104,12 @@ def test_change(cells: DataFrame, settings: Settings = Settings()) -> Verdict:
     return Verdict("spurious", method, effect, p_value, (low, high), ["no effect of its own once the controls are in"])
 
 
-def test_segment(cells: DataFrame, dim: str, entity: str, settings: Settings = Settings()) -> Verdict | None:
+def test_segment(cells: DataFrame | dict[str, np.ndarray], dim: str, entity: str, settings: Settings = Settings()) -> Verdict | None:
     """Revenue on membership in a segment (dim: state or category), controls and the values of the dimension; None if there are too few rows.
 
     Membership is also among the dummies of its dimension, so the two share the effect (minimum norm).
     """
-    data = _collected(cells)
+    data = collected(cells)
     if len(data["revenue"]) < settings.panel_rows:
         return None
     values = np.array([str(v) for v in data[dim]])
@@ -112,7 +125,7 @@ def test_segment(cells: DataFrame, dim: str, entity: str, settings: Settings = S
 def linked(cells: DataFrame, settings: Settings = Settings()) -> list[tuple[str, str]]:
     """Pairs of panel variables that no others make independent (partial correlations); [] with too few rows."""
     names = ("revenue", "avg_price", "freight_ratio", "n_items")
-    data = _collected(cells)
+    data = collected(cells)
     rows, _ = _complete([data[c] for c in names])
     if len(rows) < settings.panel_rows:
         return []

@@ -14,7 +14,7 @@ from ..schema import CANONICAL, FactSchema, Settings
 from ..session import held
 from ..sources import tables
 from . import narrative, ranking, report
-from .findings import Finder, Finding, test_causes
+from .findings import Finder, Finding, read_columns, test_causes
 
 
 @dataclass
@@ -38,15 +38,12 @@ def run(spark: SparkSession, folder: str, settings: Settings = Settings(), schem
         found = tables.sample_orders(found, settings.row_limit, settings.seed)
     profiles = {name: discovery.profile_table(name, df, exact_profile) for name, df in found.items()}
     joins = discovery.discover_joins(found, settings.join_overlap)
-    facts = held(fact.build_fact(found, schema))
-    try:
+    with held(read_columns(fact.build_fact(found, schema), schema)) as facts:
         candidates = test_causes(Finder(facts, found, settings, schema).run(), facts, settings, schema)
         ranked = ranking.rank(candidates, settings.top_findings, diversity=False)
         shapes = [{"name": p.name, "rows": p.n_rows, "cols": len(p.dtypes), "missing": p.missing} for p in profiles.values()]
         by_model, words, chosen = narrative.decide(ranked, shapes, settings.top_findings, model)
         series = {p: [(r["period"], r["revenue"]) for r in periods.series(facts, p, schema).select("period", "revenue").orderBy(F.col("period")).collect()] for p in ("month", "quarter")}
-    finally:
-        facts.unpersist()
     return Result(folder, profiles, joins, chosen, words, by_model, time.time() - began, series["month"], series["quarter"])
 
 

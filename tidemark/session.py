@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,17 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df kept for the rest of a pipeline run, spilling to disk; recomputed from its lineage if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df for the rest of a pipeline run: written by columns to the shared folder and read from there, without its lineage; removed at the end."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/held-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        df.write.parquet(folder)
+        yield spark.read.schema(df.schema).parquet(folder)
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
